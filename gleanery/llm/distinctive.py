@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.scoring import idf
 from gleanery.functions.text import tokens
-from gleanery.runtime import fits_broadcast, materialise, shuffle_partitions
+from gleanery.runtime import fits_broadcast, join_per_key, materialise
 
 
 def term_table(records: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -42,7 +42,7 @@ def distinctiveness(records: DataFrame, n_records: int, n: int = 3, by: str = "t
     total, rows = table.agg(F.sum("tf"), F.count(F.lit(1))).first()
     total = total or 0
 
-    joined = _with_statistics(table, per_term, rows)
+    joined = join_per_key(table, per_term, "term", "df", rows, fits_broadcast(per_term, 64, "term"))
     e = F.col("n") * F.col("c") / F.lit(float(total or 1))
     margins = (1 - F.col("n") / F.lit(float(total or 1))) * (1 - F.col("c") / F.lit(float(total or 1)))
     residual = F.coalesce(F.try_divide(F.col("tf") - e, F.sqrt(e) * F.sqrt(margins)), F.lit(0.0))
@@ -56,13 +56,3 @@ def distinctiveness(records: DataFrame, n_records: int, n: int = 3, by: str = "t
     )
     order = Window.partitionBy("id").orderBy(F.col(by).desc(), F.col("term").asc())
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-
-
-def _with_statistics(table: DataFrame, per_term: DataFrame, rows: int) -> DataFrame:
-    if fits_broadcast(per_term, 64, "term"):
-        return table.join(F.broadcast(per_term), "term")
-    share = max(1, rows // (4 * shuffle_partitions(table.sparkSession)))
-    often, seldom = per_term.where(F.col("df") > share), per_term.where(F.col("df") <= share)
-    hot = table.join(F.broadcast(often), "term")
-    rest = table.join(F.broadcast(often.select("term")), "term", "left_anti").join(seldom.hint("shuffle_hash"), "term")
-    return hot.unionByName(rest)
