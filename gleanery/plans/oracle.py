@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from gleanery.plans import retrieval_sql
+
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return retrieval_sql.oracle_sql() | {
         "p6_found": """
             WITH n AS (SELECT shard, term, count(DISTINCT doc_id) AS n FROM postings WHERE doc_id IS NOT NULL AND tf > 0 GROUP BY 1, 2),
             e AS (SELECT DISTINCT shard, term, df FROM term_entries)

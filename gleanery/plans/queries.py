@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.operators import skew
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from gleanery.plans import retrieval
+from gleanery.sources.tables import table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +16,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [p6_found]}
+    return {f.__name__: f for f in [*retrieval.FUNCTIONS, p6_found]}
