@@ -14,7 +14,7 @@ from gleanery.runtime import join_per_key, materialise, shuffle_partitions
 
 #: Vectors a cell should hold, and the most cells; the sample the index is fitted on has up to PER_CELL for each cell
 #: and SAMPLE in all. Every vector is indexed.
-CELL, CELLS, PER_CELL, SAMPLE = 256, 16_384, 48, 262_144
+CELL, CELLS, PER_CELL, SAMPLE = 256, 16_384, 32, 262_144
 
 #: Sub-vectors of the product quantiser, and their codes.
 PARTS, CODES = 16, 256
@@ -51,6 +51,7 @@ class Index:
         x = unit(sample).astype(np.float32)
         centroids = unit(kmeans(x, cells, rng, spherical=True)).astype(np.float32)
         residuals = x - centroids[nearest_rows(x, centroids, 1)[:, 0]]
+        parts = max(p for p in range(1, parts + 1) if x.shape[1] % p == 0)
         width = x.shape[1] // parts
         codes = int(min(CODES, max(1, len(x) // 4)))
         books = [kmeans(residuals[:20_000, p * width : (p + 1) * width], codes, rng) for p in range(parts)]
@@ -147,9 +148,10 @@ def most_similar(
     cells = int(min(CELLS, max(1, count // cell)))
     want = min(SAMPLE, max(PER_CELL * cells, 4096))
     sample = points.select("v") if count <= want else points.select("v").sample(min(1.0, 1.2 * want / count), seed=11).limit(want)
-    trained = np.array([r[0] for r in sample.collect()], np.float32).reshape(-1, dim)  # at most SAMPLE rows
+    trained = sample.toArrow().column("v").combine_chunks()  # at most SAMPLE rows
+    trained = trained.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
     if not len(trained):
-        return same.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+        return points.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
     index = vectors.sparkSession.sparkContext.broadcast(Index.fit(trained, cells))
     hits = _hits(points, index, min(probes, cells), k, least)
 
