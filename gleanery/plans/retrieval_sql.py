@@ -18,10 +18,10 @@ CE = {
     "words": "SELECT DISTINCT term AS word FROM qo",
     "idfs": "SELECT term, df, max_tf, min_dl, avgdl, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM terms, stats",
     "hits": "SELECT qid, doc_id, round(sum(qtf * {i}), 6) AS score FROM qt JOIN post USING (term) JOIN idfs USING (term) GROUP BY ALL",
-    "ranked": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits",
+    "ranked": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM hits",
     "lg": """SELECT qid, external_id AS doc_id, round(max(score), 6) AS score FROM run_hits
              WHERE external_id <> '' AND isfinite(score) GROUP BY ALL""",
-    "logged": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM lg QUALIFY rank <= 100",
+    "logged": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM lg QUALIFY rank <= 100",
     "judged": "SELECT qid, doc_id, max(greatest(coalesce(relevance, 0), 0)) AS rel FROM qrels GROUP BY ALL",
     "valid": "SELECT shard, term, doc_id, max(tf) AS tf FROM postings WHERE doc_id IS NOT NULL AND tf > 0 GROUP BY ALL",
     "gapped": "SELECT *, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY shard, term ORDER BY doc_id), 0) AS gap FROM valid",
@@ -79,11 +79,11 @@ _SPELL = {
                WHERE damerau_levenshtein(word, term) <= 2 AND NOT (damerau_levenshtein(word, term) = 2
                  AND ({_between("word", "term")} OR {_between("term", "word")}))""",
     "near": """SELECT word, term, distance::INTEGER AS distance, weight,
-               row_number() OVER (PARTITION BY word ORDER BY distance, weight DESC, term) AS rank FROM far JOIN vocab USING (term)""",
+               (row_number() OVER (PARTITION BY word ORDER BY distance, weight DESC, term))::INTEGER AS rank FROM far JOIN vocab USING (term)""",
 }
 
 _RRF = """SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(run * 1000000 + rank) AS first FROM runs GROUP BY ALL"""
-_FUSED = "SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, doc_id) AS rank FROM summed"
+_FUSED = "SELECT qid, doc_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, doc_id))::INTEGER AS rank FROM summed"
 _TWO = {
     "runs": "SELECT qid, doc_id, rank, 0 AS run FROM ranked WHERE rank <= 10 UNION ALL SELECT qid, doc_id, rank, 1 FROM logged",
     "summed": _RRF,
@@ -129,7 +129,7 @@ def _sharded() -> dict[str, str]:
         "si": "SELECT shard, term, avgdl, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM st JOIN ss USING (shard)",
         "sh": f"""SELECT qid, doc_id, shard, round(sum(qtf * {impact()}), 6) AS score
                   FROM qt JOIN post USING (term) JOIN si USING (shard, term) GROUP BY ALL""",
-        "sr": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sh QUALIFY rank <= 10",
+        "sr": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM sh QUALIFY rank <= 10",
     }
 
 
@@ -144,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
     )
     single = with_(
         "post idfs",
-        """SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM one QUALIFY rank <= 10""",
+        """SELECT doc_id, score, (row_number() OVER (ORDER BY score DESC, doc_id))::INTEGER AS rank FROM one QUALIFY rank <= 10""",
         one=f"""SELECT doc_id, round(sum(qtf * {impact()}), 6) AS score FROM
                 (SELECT unnest(['how', 'does', 'the', 'protein', 'change', 'market']) AS term, unnest([1, 1, 2, 1, 1, 1]) AS qtf)
                 JOIN post USING (term) JOIN idfs USING (term) GROUP BY doc_id""",
@@ -155,13 +155,13 @@ def oracle_sql() -> dict[str, str]:
         "head": f"""SELECT c.qid, c.doc_id, rank AS old, {_CE} AS ce FROM cut c LEFT JOIN q USING (qid) LEFT JOIN p USING (doc_id)
                     WHERE rank <= 10 AND (query IS NULL OR p.doc_id IS NOT NULL)""",
         "parts": "SELECT qid, doc_id, old, ce FROM head UNION ALL SELECT qid, doc_id, rank, NULL FROM cut WHERE rank > 10",
-        "opened": "SELECT *, bool_or(old <= 10 AND ce IS NULL) OVER (PARTITION BY qid) AS open, min(ce) OVER (PARTITION BY qid) AS least, count(ce) OVER (PARTITION BY qid) AS heads, row_number() OVER (PARTITION BY qid ORDER BY ce DESC NULLS LAST, old) AS rank FROM parts",
+        "opened": "SELECT *, bool_or(old <= 10 AND ce IS NULL) OVER (PARTITION BY qid) AS open, min(ce) OVER (PARTITION BY qid) AS least, count(ce) OVER (PARTITION BY qid) AS heads, (row_number() OVER (PARTITION BY qid ORDER BY ce DESC NULLS LAST, old))::INTEGER AS rank FROM parts",
     }
     funnel = {
         **_TWO,
         "cut": "SELECT * FROM every WHERE rank <= 1000",
         "scored": f"SELECT c.qid, c.doc_id, c.score AS rrf_score, rank AS rrf_rank, CASE WHEN rank <= 20 THEN {_CE} END AS ce_score FROM cut c LEFT JOIN q USING (qid) LEFT JOIN p USING (doc_id)",
-        "final": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ce_score DESC NULLS LAST, rrf_rank) AS rank FROM scored QUALIFY rank <= 10",
+        "final": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY ce_score DESC NULLS LAST, rrf_rank))::INTEGER AS rank FROM scored QUALIFY rank <= 10",
     }
     spell = lambda names, select, **kw: with_(names, select, **(_SPELL | kw))
     return {
@@ -209,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "autocomplete": with_("vocab", "SELECT term, weight FROM vocab WHERE starts_with(term, 'pro') ORDER BY weight DESC, term LIMIT 8"),
         "autocomplete_batch": with_(
             "vocab words",
-            """SELECT prefix, term, weight, row_number() OVER (PARTITION BY prefix ORDER BY weight DESC, term) AS rank
+            """SELECT prefix, term, weight, (row_number() OVER (PARTITION BY prefix ORDER BY weight DESC, term))::INTEGER AS rank
                FROM pre JOIN vocab ON substr(term, 1, length(prefix)) = prefix QUALIFY rank <= 8""",
             pre="SELECT DISTINCT substr(word, 1, 3) AS prefix FROM words WHERE length(word) >= 2",
         ),
@@ -217,11 +217,30 @@ def oracle_sql() -> dict[str, str]:
         "spell_candidates": spell("words vocab", "SELECT word, term FROM cand"),
         "spell_topk": spell("words vocab", "SELECT word, term, distance, weight, rank FROM near WHERE rank <= 5"),
         "spell_correct": spell("words vocab", "SELECT word, term, distance, weight FROM near WHERE rank = 1"),
+        "query_autocorrect": with_(
+            "q vocab",
+            """SELECT qid, CASE WHEN count(term) > 0 THEN string_agg(coalesce(term, w), ' ' ORDER BY i) END AS corrected
+               FROM q LEFT JOIN each USING (qid) LEFT JOIN fix ON word = lower(w) GROUP BY qid""",
+            each=r"""SELECT qid, w[i] AS w, i FROM (SELECT qid, w, unnest(range(1, len(w) + 1)) AS i FROM (
+                     SELECT qid, list_filter(regexp_split_to_array(query, '[\t\n\x{0B}\f\r ]+'), lambda x: x <> '') AS w FROM q))""",
+            words="SELECT DISTINCT lower(w) AS word FROM each",
+            **_SPELL,
+            fix="SELECT word, term FROM near WHERE rank = 1 AND distance > 0",
+        ),
+        "spell_accuracy": with_(
+            "vocab",
+            """SELECT count(*) AS pairs, sum((coalesce(near.term, '') = expected)::INTEGER)::BIGINT AS correct,
+                      round(avg((coalesce(near.term, '') = expected)::INTEGER) * 100, 4) AS percent
+               FROM typos LEFT JOIN near ON near.word = typo AND near.rank = 1""",
+            typos="SELECT substr(term, 1, 2) || substr(term, 4) AS typo, term AS expected FROM vocab WHERE length(term) >= 5 AND weight > 20",
+            words="SELECT DISTINCT typo AS word FROM typos",
+            **_SPELL,
+        ),
         "dense_knn": """
             WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
             s AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 4) AS score
                   FROM v a, v b WHERE a.vec_id % 100 = 0)
-            SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""",
+            SELECT qid, doc_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 10""",
         "cosine_normalize": """SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings""",
         "rrf_fuse": with_(
             "",
