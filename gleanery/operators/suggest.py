@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from gleanery.functions.text import as_bytes, deletes, tokens
+from gleanery.runtime import materialise, parallelism, shuffle_partitions
 
 MAX_EDIT = 2
 
@@ -69,8 +70,14 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def delete_index(vocab: DataFrame, max_edit: int = MAX_EDIT) -> DataFrame:
-    """(variant, term): what is left of each term after up to ``max_edit`` deletions."""
-    return vocab.select("term", F.explode(deletes(as_bytes(F.col("term")), max_edit)).alias("variant"))
+    """(variant, term): what is left of each term after up to ``max_edit`` deletions.
+
+    A term gives about half its length squared of variants, so the terms are spread before: a vocabulary is small, and
+    what its aggregation leaves is often one partition.
+    """
+    spark = vocab.sparkSession
+    wide = vocab.repartition(max(parallelism(spark), shuffle_partitions(spark)), "term")
+    return wide.select("term", F.explode(deletes(as_bytes(F.col("term")), max_edit)).alias("variant"))
 
 
 def candidates(vocab: DataFrame, words: DataFrame, max_edit: int = MAX_EDIT) -> DataFrame:
@@ -91,8 +98,13 @@ def correct_all(vocab: DataFrame, words: DataFrame, k: int = 5, max_edit: int =
 
     A word without any within ``max_edit`` has no rows.
     """
-    far = candidates(vocab, words, max_edit).withColumn("distance", distance(F.col("word"), F.col("term")))
-    rows = far.where(F.col("distance") <= max_edit).join(vocab.select("term", "weight"), "term")
+    vocab = materialise(vocab.select("term", "weight"), "vocabulary")
+    words = materialise(words.select("word").where("word is not null and word <> ''").distinct(), "words")
+    pairs = candidates(vocab, words, max_edit)
+    # A swap is two plain edits, so what is further apart than twice the limit needs no alignment.
+    near = pairs.where(F.levenshtein(as_bytes(F.col("word")), as_bytes(F.col("term")), 2 * max_edit) >= 0)
+    far = near.withColumn("distance", distance(F.col("word"), F.col("term")))
+    rows = far.where(F.col("distance") <= max_edit).join(vocab, "term")
     order = Window.partitionBy("word").orderBy("distance", F.col("weight").desc(), "term")
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("word", "term", "distance", "weight", "rank")

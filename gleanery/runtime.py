@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,26 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 48 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once for each session.
+
+    Workers run functions of the package; they may lack the driver's path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_gleanery_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="gleanery-code-"), "gleanery.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)  # Spark's own file server hands it to the executors
+    context._gleanery_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
