@@ -119,6 +119,16 @@ def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
     return encode
 
 
+# Fixed value: the instruction that models of the bge family were trained with for queries.
+QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
+
+
+def instruction(kind: str, model: str) -> str:
+    """What goes before each text: queries of those models alone take an instruction."""
+    family = "bge" in model.lower()
+    return QUERY_INSTRUCTION if family and kind == "query" else ""
+
+
 def embed(texts: DataFrame, load: Callable[[], Callable] = hashing_encoder, text_col: str = "text", instruction: str = "") -> DataFrame:
     """``texts`` with ``embedding``; ``load`` makes the encoder once in each worker. ``instruction`` goes before each text."""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def split_first_tab(line: Column) -> tuple[Column, Column]:
@@ -37,21 +39,48 @@ def write_tsv(rows: DataFrame, path: str, id_name: str = "doc_id", text_name: st
     rows.where(F.col(id_name).isNotNull()).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def run_lines(run: DataFrame, tag: str, decimals: int = 6) -> DataFrame:
-    """(qid, rank, line) with TREC lines ``qid Q0 doc rank score tag``."""
+def slug(dataset: str) -> str:
+    """A data set's name as part of a file name."""
+    return dataset.replace("/", "_")
+
+
+def export(documents: DataFrame, queries: DataFrame, out_dir: str, max_docs: int | None = None) -> None:
+    """``corpus.tsv`` and ``queries.tsv`` of (doc_id, title, text) and (qid, query); ``max_docs`` takes the first ids.
+
+    The title, if there is one, goes before the text.
+    """
+    from gleanery.functions.text import title_and_body
+
+    text = title_and_body(F.col("title"), F.col("text")) if "title" in documents.columns else F.col("text")
+    rows = documents.select("doc_id", text.alias("text"))
+    if max_docs is not None:
+        rows = rows.orderBy("doc_id").limit(max_docs)
+    write_tsv(rows, f"{out_dir}/corpus.tsv")
+    write_tsv(queries, f"{out_dir}/queries.tsv", "qid", "query")
+
+
+@F.pandas_udf(StringType())
+def _general(scores: pd.Series) -> pd.Series:
+    """Six significant digits, as short as they can be written."""
+    return scores.map(lambda x: None if x is None else f"{x:.6g}")
+
+
+def run_lines(run: DataFrame, tag: str, decimals: int | None = 6) -> DataFrame:
+    """(qid, rank, line) with TREC lines ``qid Q0 doc rank score tag``; no ``decimals`` means six significant digits."""
+    score = F.col("score").cast("double")
     line = F.concat_ws(
         " ",
         F.col("qid").cast("string"),
         F.lit("Q0"),
         F.col("doc_id").cast("string"),
         F.col("rank").cast("string"),
-        F.format_string(f"%.{decimals}f", F.col("score").cast("double")),
+        _general(score) if decimals is None else F.format_string(f"%.{decimals}f", score),
         F.lit(tag),
     )
     return run.select("qid", "rank", line.alias("line"))
 
 
-def write_run(run: DataFrame, path: str, tag: str, decimals: int = 6) -> None:
+def write_run(run: DataFrame, path: str, tag: str, decimals: int | None = 6) -> None:
     """Sorted by query and rank over all files."""
     run_lines(run, tag, decimals).sort("qid", "rank").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 

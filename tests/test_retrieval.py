@@ -131,6 +131,7 @@ def test_dense(spark):
     assert [r["doc_id"] for r in dense.knn(df, one, 3, 2).orderBy("rank").collect()] == ["a", "c", "b"]
     assert [r["doc_id"] for r in dense.ann(df, one, 3, 2, cells=3, probes=3).orderBy("rank").collect()] == ["a", "c", "b"]
     assert dense.knn(df, one.limit(0), 3, 2).collect() == []
+    assert dense.instruction("query", "x/bge-small") and not dense.instruction("document", "x/bge-small") and not dense.instruction("query", "e5")
     assert dense.embed(spark.createDataFrame([("a b a",), (None,)], "text string")).select(F.size("embedding").alias("n")).first()["n"] == 64
 
 
