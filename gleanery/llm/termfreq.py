@@ -170,5 +170,5 @@ def marked(counts: DataFrame, n_records: int, fewest: int = 3, share: float = 0.
 
     A term that is both is rare.
     """
-    mark = F.when(F.col("records") < fewest, "rare").when(F.col("records") > F.lit(share) * n_records, "common")
+    mark = F.when(F.col("records") < fewest, "rare").when(F.col("records") > share * n_records + 1e-9 * n_records, "common")
     return counts.withColumn("mark", mark)
