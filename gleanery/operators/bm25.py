@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.scoring import B, K1, bm25_weight, idf
 from gleanery.functions.text import tokens
 from gleanery.operators.index import Index
+from gleanery.runtime import materialise, spread
 
 #: Query terms that are broadcast at a time; more queries are scored in several passes.
 QUERY_TERMS = 500_000
@@ -60,7 +61,7 @@ def search_documents(
     """
     spark = documents.sparkSession
     part = F.col(f"`{by}`").cast("int") if by else F.lit(0)
-    words = documents.select("doc_id", part.alias("part"), tokens(F.col("text")).alias("w"))
+    words = materialise(documents.select("doc_id", part.alias("part"), tokens(F.col("text")).alias("w")), "words")
     stats = words.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     parts = {r["part"]: (r["n"], r["avgdl"] or 0.0) for r in stats.collect()}  # a row for each part
     all_terms = query_terms(queries)
@@ -119,7 +120,7 @@ def _score(words: DataFrame, terms: DataFrame, parts: dict, k: int, k1: float, b
 
     kind = words.schema["doc_id"].dataType.simpleString()
     qkind = terms.schema["qid"].dataType.simpleString()
-    return words.select("doc_id", "part", "w").mapInArrow(run, f"part int, qid {qkind}, doc_id {kind}, score double")
+    return spread(words.select("doc_id", "part", "w")).mapInArrow(run, f"part int, qid {qkind}, doc_id {kind}, score double")
 
 
 def _best(ids: pa.Array, part: int, d, w, first, qids, starts, which, qtf, k: int) -> Iterator[pa.RecordBatch]:
