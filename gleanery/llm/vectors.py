@@ -20,7 +20,7 @@ CELL, CELLS, PER_CELL, SAMPLE = 256, 16_384, 32, 262_144
 PARTS, CODES = 16, 256
 
 #: Cells each query visits, nearest first.
-PROBES = 12
+PROBES = 20
 
 #: Members of a cell, and queries to it, in one task; larger cells are split by hash.
 MEMBERS, QUERIES = 8192, 65_536
