@@ -126,6 +126,14 @@ def _score(words: DataFrame, terms: DataFrame, parts: dict, k: int, k1: float, b
 def _best(ids: pa.Array, part: int, d, w, first, qids, starts, which, qtf, k: int) -> Iterator[pa.RecordBatch]:
     """The ``k`` best of a block for each query; all of those that tie with the last, which the next step settles."""
     found_q, found_d, found_s = [], [], []
+    held = 0
+
+    def batch() -> pa.RecordBatch:
+        q = np.concatenate(found_q)
+        columns = [pa.array(np.full(len(q), part), pa.int32()), pa.array(qids[q].tolist())]
+        columns += [ids.take(pa.array(np.concatenate(found_d))), pa.array(np.concatenate(found_s), pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "qid", "doc_id", "score"])
+
     for q in range(len(qids)):
         rows, weights = [], []
         for j in range(starts[q], starts[q + 1]):
@@ -143,16 +151,12 @@ def _best(ids: pa.Array, part: int, d, w, first, qids, starts, which, qtf, k: in
         found_q.append(np.full(len(hit), q))
         found_d.append(hit)
         found_s.append(total[hit])
+        held += len(hit)
+        if held > 100_000:  # many queries with a large k
+            yield batch()
+            found_q, found_d, found_s, held = [], [], [], 0
     if found_q:
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(sum(map(len, found_q)), part), pa.int32()),
-                pa.array(qids[np.concatenate(found_q)].tolist()),
-                ids.take(pa.array(np.concatenate(found_d))),
-                pa.array(np.concatenate(found_s), pa.float64()),
-            ],
-            ["part", "qid", "doc_id", "score"],
-        )
+        yield batch()
 
 
 def search_pruned(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, share: float = 0.8) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.engine import Settings
 from gleanery.functions import scoring, text
 from gleanery.operators import bm25, dense, fusion, index, metrics, suggest
 from gleanery.sources import tables
@@ -14,6 +15,7 @@ S, D = SparkSession, DataFrame
 
 SCORES = ["bm25_score", "dense_score", "ce_score", "rrf_score"]
 SHARDS = 4
+FUNNEL = Settings()
 
 
 def _index(spark: S, d: str, by: tuple[str, ...] = ()) -> index.Index:
@@ -211,8 +213,14 @@ def rrf_fuse(spark: S, d: str) -> D:
     return fusion.fuse(runs, top=10).withColumnRenamed("qid", "search_id")
 
 
+def _runs(spark: S, d: str) -> list[D]:
+    """The lexical and the logged list of each query, as deep as a service fetches them."""
+    lexical = bm25.search_documents(tables.passages(spark, d), tables.queries(spark, d), FUNNEL.lexical_depth)
+    return [lexical, tables.logged_run(spark, d, FUNNEL.dense_depth)]
+
+
 def _hybrid(spark: S, d: str) -> D:
-    return fusion.fuse([bm25_batch_top10(spark, d), tables.logged_run(spark, d)], top=100)
+    return fusion.fuse(_runs(spark, d), FUNNEL.rrf_k)
 
 
 def hybrid_top10(spark: S, d: str) -> D:
@@ -220,14 +228,14 @@ def hybrid_top10(spark: S, d: str) -> D:
 
 
 def rerank_head_tail(spark: S, d: str) -> D:
-    found = fusion.rerank(_hybrid(spark, d), tables.queries(spark, d), tables.passages(spark, d), depth=10)
+    rows = tables.queries(spark, d), tables.passages(spark, d)
+    found = fusion.rerank(_hybrid(spark, d), *rows, depth=FUNNEL.rerank_depth)
     return found.where("rank <= 20").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def funnel_provenance(spark: S, d: str) -> D:
-    return fusion.funnel(
-        bm25_batch_top10(spark, d), tables.logged_run(spark, d), tables.queries(spark, d), tables.passages(spark, d), depth=20
-    )
+    rows = tables.queries(spark, d), tables.passages(spark, d)
+    return fusion.funnel(*_runs(spark, d), *rows, FUNNEL.top_k, FUNNEL.rerank_depth, FUNNEL.rrf_k)
 
 
 def _graded(spark: S, d: str, *measures: str) -> D:

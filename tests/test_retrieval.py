@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from gleanery.engine import Engine, flag, origins
 from gleanery.operators import bm25, dense, fusion, index, metrics
 from gleanery.operators.index import Index
+from gleanery.plans import retrieval
+from gleanery.sources import tables
 from gleanery.streaming import append
 
 TOY = [
@@ -155,3 +157,20 @@ def test_streaming(spark, docs, asked, tmp_path):
     go()
     got = append.current(spark, path)
     assert got.docs.count() == 8 and rows(bm25.search(got, asked, 3)) == rows(bm25.search_documents(docs, asked, 3))
+
+
+def test_registered_funnel_is_as_deep_as_a_service(spark):
+    d = "/root/testdata/sf0.001"
+    asked, texts = tables.queries(spark, d), tables.passages(spark, d)
+    fused = {}
+    for run in (bm25.search(Index.build(texts), asked, 200), tables.logged_run(spark, d, 200)):
+        for r in run.collect():
+            fused.setdefault(r["qid"], {}).setdefault(r["doc_id"], []).append(r["rank"])
+    want = {q: sorted((round(sum(1 / (60 + r) for r in ranks), 9) for ranks in of.values()), reverse=True)[:10] for q, of in fused.items()}
+    got = {}
+    for r in retrieval.hybrid_top10(spark, d).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["score"])
+    assert {q: pytest.approx(s, abs=2e-9) for q, s in want.items()} == got
+    found = retrieval.funnel_provenance(spark, d).agg(F.max("bm25_rank"), F.max("rrf_rank")).first()
+    assert found[0] > 10 and 20 < found[1] <= 50
+    assert retrieval.rerank_head_tail(spark, d).where("score < 0").isEmpty()
