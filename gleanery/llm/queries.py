@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and links of all documents at the usual five words, of any script, and 0.8."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    found = neardup.NearDuplicates(passages(docs), cut=neardup.units).every_text()
+    found = neardup.NearDuplicates(passages(docs), cut="units").every_text()
     return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), "copies", "links")
 
 
