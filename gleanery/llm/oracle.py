@@ -9,6 +9,12 @@ _TERMS = (
     + ", t AS (SELECT id, lower(x) AS term FROM w)"
 )
 
+# Blocks of code points whose scripts are written without spaces.
+_UNSPACED = (
+    r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3041}-\x{3096}"
+    r"\x{309D}-\x{309F}\x{30A1}-\x{30FA}\x{30FC}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFD}"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     finite = {s: f"CASE WHEN isfinite({s}) THEN {s} END" for s in ("bm25_score", "dense_score", "ce_score", "rrf_score")}
@@ -26,15 +32,17 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
             b AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
             SELECT id_a, id_b FROM b JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c""",
-        "p1_documents": """
-            WITH w AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-            s AS (SELECT DISTINCT id, lower(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) AS g
+        "p1_documents": f"""
+            WITH d AS (SELECT doc_id::VARCHAR AS id, text FROM documents WHERE doc_id IS NOT NULL),
+            w AS (SELECT id, text, regexp_extract_all(regexp_replace(text, '([{_UNSPACED}]\\pM*)', ' \\1 ', 'g'), '[\\pL\\pN\\pM]+') AS w FROM d),
+            s AS (SELECT DISTINCT id, replace(lower(concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])), 'ς', 'σ') AS g
                   FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
-            h AS (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY id),
-            m AS (SELECT id, n, min(id) OVER (PARTITION BY h) AS rep, count(*) OVER (PARTITION BY h) AS copies FROM h),
+            k AS (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY id),
+            c AS (SELECT d.id, n, CASE WHEN n > 0 THEN 's' || h WHEN text IS NULL THEN 'n' || d.id ELSE 't' || md5(text) END AS h FROM d LEFT JOIN k USING (id)),
+            m AS (SELECT id, n, min(id) OVER (PARTITION BY h) AS rep, count(*) OVER (PARTITION BY h) AS copies FROM c),
             r AS (SELECT * FROM s SEMI JOIN (SELECT DISTINCT rep AS id FROM m) USING (id)),
             b AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM r a JOIN r b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
-            l AS (SELECT x, count(*) AS links FROM b JOIN h i ON i.id = x JOIN h j ON j.id = y WHERE c >= 0.8 * (i.n + j.n - c) - 1e-9 GROUP BY x)
+            l AS (SELECT x, count(*) AS links FROM b JOIN k i ON i.id = x JOIN k j ON j.id = y WHERE c >= 0.8 * (i.n + j.n - c) - 1e-9 GROUP BY x)
             SELECT m.id AS doc_id, rep AS class_id, copies, coalesce(links, 0) AS links FROM m LEFT JOIN l ON l.x = m.rep""",
         "p2_found": f"""
             WITH {_TERMS}, f AS (SELECT term, count(DISTINCT id) AS r FROM t GROUP BY term)

@@ -35,6 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def stable(small: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative whole numbers, which numpy sorts by digits where they fit into 16 bits."""
+    return np.argsort(small.astype(np.uint16) if len(small) and small.max() < 1 << 16 else small, kind="stable")
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 to the 64th."""
     if not _POWERS or len(_POWERS[0]) < n:
@@ -131,7 +136,8 @@ def shingles(texts: list[str | None], width: int, cut: str = "ascii") -> tuple[n
         run = mix(run * np.uint64(_ODD) + h[k : k + n])
     whole = of[:n] == of[width - 1 :]
     run, of = run[whole], of[:n][whole]
-    order = np.lexsort((run, of))
+    order = np.argsort(run)
+    order = order[stable(of[order])]
     run, of = run[order], of[order]
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (of[1:] != of[:-1])
