@@ -82,17 +82,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str, n_rows: int, fits: bool = False) -> DataFrame:
-    """Inner join of ``rows`` with a table that has one row a key, ``weight`` saying how many rows hold the key.
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str, n_rows: int, fits: bool = False, how: str = "inner") -> DataFrame:
+    """Join (inner, or left with ``how``) of ``rows`` with a table that has one row a key, ``weight`` saying how many rows hold the key.
 
     With ``fits`` (measured by ``fits_broadcast``) the table is broadcast. Else the keys that hold more than a quarter
     of a partition's fair share are, which are at most four for each partition, and the rest is joined by shuffle, so
     that no key's rows make a large task.
     """
     if fits:
-        return rows.join(F.broadcast(per_key), key)
+        return rows.join(F.broadcast(per_key), key, how)
     share = max(1000, n_rows // (4 * shuffle_partitions(rows.sparkSession)))
     often, seldom = per_key.where(F.col(weight) > share), per_key.where(F.col(weight) <= share)
     hot = rows.join(F.broadcast(often), key)
-    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key, how)
     return hot.unionByName(rest)
