@@ -125,6 +125,27 @@ def token_hashes(texts: list[str | None], cut: str = "ascii") -> tuple[np.ndarra
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), of
 
 
+def terms(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """(tokens in lower case, text of each): longest runs of ASCII letters and digits, in order."""
+    plain = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    _, starts, ends, of = _ascii_tokens(plain) if plain else (None, *[np.zeros(0, np.int64)] * 3)
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    data = np.frombuffer(b"\n".join(plain), np.uint8)[at]
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())]
+    return pa.Array.from_buffers(pa.string(), len(starts), buffers), of
+
+
+def term_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(text, term, count) of each different token of each text, ``term`` being a place in the last, the tokens."""
+    found, of = terms(texts)
+    coded = found.dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    key, tf = np.unique(of * size + coded.indices.to_numpy(), return_counts=True)
+    return key // size, key % size, tf, coded.dictionary
+
+
 def shingles(texts: list[str | None], width: int, cut: str = "ascii") -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of the different runs of ``width`` tokens of each text, by text and then by hash."""
     h, of = token_hashes(texts, cut)

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.corpus import finite
+from gleanery.runtime import fits_broadcast, join_per_key, materialise
 
-#: Rows of a group that are ranked in one task; a larger group is split by hash into as many subgroups as it needs.
-SUBGROUP = 200_000
-
-#: Large groups that may be listed for splitting; ``top_n`` sees to it that there can't be more.
-HOT_GROUPS = 100_000
+#: Rows of a subgroup. A group is split by hash of the item into as many as it needs, and into two at least where it has
+#: over SPLIT times as many rows as are kept.
+SUBGROUP, SPLIT = 200_000, 10
 
 
 def top_n(
@@ -23,39 +22,25 @@ def top_n(
     count. A null in a group column is a value like any other. Fewer than ``n`` items: all of them. Repeated rows change
     nothing; other columns are not read; an empty table gives no rows.
 
-    Groups over ``subgroup`` rows are found by a count over the group columns alone and split by a hash of the item.
-    One shuffle brings each subgroup to one task, which keeps the best score of each item and then ``n`` items; only
-    these survivors are ranked again by group. The list of large groups is broadcast: it has at most rows / subgroup
-    entries, and ``subgroup`` grows with the table so that these stay under HOT_GROUPS.
+    The groups to be split are found by a count over the group columns alone and written out; their sizes are joined to
+    the rows by broadcast if they were measured to fit, else by ``join_per_key``. One shuffle brings each subgroup to one
+    task, which keeps the best score of each item and then ``n`` items; only these survivors are ranked again by group.
     """
-    spark = rows.sparkSession
-    plain = rows.select(
-        *[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(groups)],
-        F.col(f"`{item}`").alias("item"),
-        finite(F.col(f"`{score}`")).alias("score"),
-    )
-    keys = [f"g{i}" for i in range(len(groups))]
+    names = [f"g{i}" for i in range(len(groups))]
+    group = F.struct(*[F.col(f"`{g}`").alias(k) for g, k in zip(groups, names)]).alias("g")
+    plain = rows.select(group, F.col(f"`{item}`").alias("item"), finite(F.col(f"`{score}`")).alias("score"))
     valid = plain.where("score is not null and item is not null and cast(item as string) <> ''")
-    sizes = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    subgroup = max(subgroup, plain.count() // HOT_GROUPS)  # the count is read from the files' footers
-    # Bounded by HOT_GROUPS rows.
-    hot = sizes.where(F.col("c") > subgroup).withColumn("parts", F.ceil(F.col("c") / subgroup).cast("int")).collect()
-    salt = F.lit(0)
-    if hot:
-        small = F.broadcast(spark.createDataFrame([[*r[: len(keys)], r["parts"]] for r in hot], _schema(plain, keys)))
-        same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-        valid = valid.join(small, same, "left")
-        salt = F.pmod(F.xxhash64("item"), F.coalesce(F.col("parts"), F.lit(1)).cast("long")).cast("int")
-    salted = valid.select(*keys, salt.alias("salt"), "item", "score").repartition(*keys, "salt")
-    best = salted.groupBy(*keys, "salt", "item").agg(F.max("score").alias("score"))
+    # Rows that don't count are counted here, so that only the group columns are read.
+    sizes = plain.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT * max(n, 1))
+    sizes = materialise(sizes, "sizes")
+    parts = F.greatest(F.lit(2), F.ceil(F.col("c") / subgroup)).cast("int")
+    strings = [f"g.{k}" for k in names if plain.schema["g"].dataType[k].dataType.simpleString() == "string"]
+    known = sizes.withColumn("parts", parts)
+    joined = join_per_key(valid, known, "g", "c", plain.count(), fits_broadcast(sizes, 64, *strings), "left")
+    salt = F.pmod(F.xxhash64("item"), F.coalesce(F.col("parts"), F.lit(1)).cast("long")).cast("int")
+    salted = joined.select("g", salt.alias("salt"), "item", "score").repartition("g", "salt")
+    best = salted.groupBy("g", "salt", "item").agg(F.max("score").alias("score"))
     order = [F.col("score").desc(), F.col("item").asc()]
-    first = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(*order)))
-    survivors = first.where(F.col("rank") <= n)
-    if hot:
-        last = survivors.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        survivors = last.where(F.col("rank") <= n)
-    return survivors.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col("item").alias(item), "score", "rank")
-
-
-def _schema(plain: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"hot_{k} {plain.schema[k].dataType.simpleString()}" for k in keys) + ", parts int"
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("g", "salt").orderBy(*order))).where(F.col("rank") <= n)
+    last = first.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("rank") <= n)
+    return last.select(*[F.col(f"g.{k}").alias(g) for k, g in zip(names, groups)], F.col("item").alias(item), "score", "rank")
