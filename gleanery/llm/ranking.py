@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.corpus import finite
 
 #: Scores beyond the quartiles by more than this many quartile distances are pulled in to that fence.
-FENCE = 1.5
+FENCE = 1.0
 
 
 def ideal_point(
@@ -16,17 +16,18 @@ def ideal_point(
 ) -> DataFrame:
     """(group, item, closeness, rank): the items of each group by relative closeness to the ideal point.
 
-    Each score is winsorised at the Tukey fences of its group, moved so that a missing or non-finite one is 0 and the
-    least present one a step above it, and vector-normalised. A score's weight is its share in ``weights`` over its
-    normalised maximum, so that each score spans the same distance from the anti-ideal point (all 0) to the ideal one
-    (all maxima), however its values are spread. Closeness is d(anti-ideal) / (d(ideal) + d(anti-ideal)). A score
+    Each score is winsorised at its fences, ``fence`` quartile distances beyond the quartiles of its group, moved so that
+    a missing or non-finite one is 0 and the least present one a step above it, and vector-normalised: divided by the
+    length of the group's vector of that score, per root of the results that have it. The ideal point has the greatest
+    value of each score, the anti-ideal one 0; distances to both are weighted by ``weights``, all 1 by default.
+    Closeness is d(anti-ideal) / (d(ideal) + d(anti-ideal)). A score
     missing in a whole group does not count; if all are, the closeness is 0 and the order that of the items. Ties go by
     ascending item. (group, item) rows that repeat count once, with the greatest of each score. A null group is a group;
     rows with a null item don't count; other columns are not read.
 
     Quartiles, extremes and norms are mergeable aggregates, so a group of any size is summarised without being brought
     to one task: quartiles are exact up to 10,000 items and within 1/10,000 of the ranks beyond. The summaries are
-    joined back to the rows by group; AQE splits a large group there. The rank is over the whole group, so ask
+    joined back to the rows by group, twice, as norms are of winsorised scores; AQE splits a large group there. The rank is over the whole group, so ask
     ``leaders`` for the first few: its window is limited before the shuffle.
     """
     return _ranked(_closeness(rows, group, item, scores, weights, fence), group, item)
@@ -69,17 +70,24 @@ def _closeness(rows, group, item, scores, weights, fence) -> DataFrame:
         limits += [low.alias(f"low_{n}"), high.alias(f"high_{n}"), step.alias(f"step_{n}")]
     limits = quartiles.select(*limits)
     limits = limits.withColumnRenamed("__g", "__h")
-    joined = clean.join(limits, F.col("__g").eqNullSafe(F.col("__h")))
-    # A score over its normalised maximum is a score over its maximum: the norm divides both and goes out.
+    joined = clean.join(limits, F.col("__g").eqNullSafe(F.col("__h"))).drop("__h")
+    # Winsorised and moved: a missing score is 0, the least present one a step.
+    moved = []
+    for n in named:
+        low, high, step = F.col(f"low_{n}"), F.col(f"high_{n}"), F.col(f"step_{n}")
+        inside = F.least(F.greatest(F.col(n), low), high) - low + step
+        moved += [F.when(F.col(n).isNotNull(), inside).alias(n), (high - low + step).alias(f"top_{n}")]
+    moved = joined.select("__g", "__i", *moved)
+    # The length of each score's vector over the root of how many results have it.
+    norms = moved.groupBy("__g").agg(*[F.sqrt(F.avg(F.col(n) * F.col(n))).alias(f"norm_{n}") for n in named])
+    normed = moved.join(norms.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h")))
     ideal = anti = F.lit(0.0)
     for n, w in zip(named, weights):
-        low, high, step = F.col(f"low_{n}"), F.col(f"high_{n}"), F.col(f"step_{n}")
-        inside = F.least(F.greatest(F.col(n), low), high)
-        share = F.coalesce((inside - low + step) / (high - low + step), F.lit(0.0))
-        counts = F.when(low.isNotNull(), F.lit(float(w) ** 2)).otherwise(F.lit(0.0))
-        ideal = ideal + counts * (1 - share) * (1 - share)
-        anti = anti + counts * share * share
+        value = F.coalesce(F.lit(float(w)) * F.col(n) / F.col(f"norm_{n}"), F.lit(0.0))
+        best = F.coalesce(F.lit(float(w)) * F.col(f"top_{n}") / F.col(f"norm_{n}"), F.lit(0.0))
+        ideal = ideal + (best - value) * (best - value)
+        anti = anti + value * value
     ideal, anti = F.sqrt(ideal), F.sqrt(anti)
     closeness = F.coalesce(F.try_divide(anti, ideal + anti), F.lit(0.0))
     # To nine decimals: sums of squares differ in their last bits.
-    return joined.select("__g", "__i", F.round(closeness, 9).alias("closeness"))
+    return normed.select("__g", "__i", F.round(closeness, 9).alias("closeness"))

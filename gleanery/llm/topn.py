@@ -10,7 +10,7 @@ from gleanery.runtime import fits_broadcast, join_per_key, materialise
 
 #: Rows of a subgroup. A group is split by hash of the item into as many as it needs, and into two at least where it has
 #: over SPLIT times as many rows as are kept.
-SUBGROUP, SPLIT = 200_000, 10
+SUBGROUP, SPLIT = 50_000, 10
 
 
 def top_n(
