@@ -18,7 +18,7 @@ from gleanery.runtime import join_per_key, materialise, shuffle_partitions
 CELL, ROOTS, PER_CELL, SAMPLE, BOOK_SAMPLE = 256, 4, 32, 262_144, 65_536
 
 #: Cells in a group: a task has a group's members, and a query is sent once to each group in which it visits cells.
-GROUP = 64
+GROUP = 32
 
 #: Sub-vectors of the product quantiser, and their codes.
 PARTS, CODES = 16, 256
@@ -27,7 +27,7 @@ PARTS, CODES = 16, 256
 PROBES, FEW, MORE = 20, 512, 4
 
 #: Members of a group, and queries to it, in one task; larger groups are split by hash.
-MEMBERS, QUERIES = 32_768, 65_536
+MEMBERS, QUERIES = 16_384, 32_768
 
 
 def usable(vectors: DataFrame, dim: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
