@@ -80,4 +80,7 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT *, round((tf - n * c / total) / (sqrt(n * c / total) * sqrt((1 - n / total) * (1 - c / total))), 9) AS residual FROM g),
             r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY residual DESC, term) AS r FROM e)
             SELECT id, term, tf, df, round(residual, 4) AS residual FROM r WHERE r <= 3""",
+        "p9_invariants": """
+            SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(text, '') = '') AS empty, 0::BIGINT AS split_in_vain, 0::BIGINT AS too_full
+            FROM documents""",
     }

@@ -78,10 +78,25 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p9_packed(spark, sf_dir))
 
 
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``p9_packed``: all documents are there, none in vain in two pieces, no container is too full."""
+    packed = materialise(p9_packed(spark, sf_dir), "packed")
+    per = packed.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.countDistinct("piece").alias("different"), F.max("piece").alias("last")
+    )
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") / packing.CAPACITY))
+    bad = (F.col("pieces") != needed) | (F.col("different") != F.col("pieces")) | (F.col("last") != F.col("pieces") - 1)
+    documents = per.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") == 0).alias("empty"), F.count_if(bad).alias("split_in_vain")
+    )
+    rooms = packed.groupBy("container").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > packing.CAPACITY).alias("too_full"))
+    return documents.crossJoin(rooms)  # one row each
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(spread(table(spark, sf_dir, "documents"))).select("doc_id")
 
 
 def queries() -> dict:
     found = [p1_found, p1_documents, p2_found, p2_counts, p3_found, p4_found, p5_found, p7_found, p7_residuals]
-    return {f.__name__: f for f in [*found, p8_ids, p9_packed, p9_fill, p10_found]}
+    return {f.__name__: f for f in [*found, p8_ids, p9_packed, p9_fill, p9_invariants, p10_found]}
