@@ -144,7 +144,7 @@ def autocomplete_batch(spark: S, d: str) -> D:
 
 
 def delete_variants(spark: S, d: str) -> D:
-    return suggest.delete_index(vocab_frequency(spark, d), 1)
+    return suggest.delete_index(vocab_frequency(spark, d), suggest.MAX_EDIT)
 
 
 def _words(spark: S, d: str) -> D:
@@ -169,9 +169,9 @@ def query_autocorrect(spark: S, d: str) -> D:
 
 
 def spell_accuracy(spark: S, d: str) -> D:
-    """Typos are made of every term of five signs or more found over 20 times: the third sign is left out."""
+    """Typos are made of every term of three signs or more: the third sign is left out."""
     vocab = vocab_frequency(spark, d)
-    known = vocab.where("length(term) >= 5 and weight > 20")
+    known = vocab.where("length(term) >= 3")
     typo = F.concat(F.substring("term", 1, 2), F.expr("substring(term, 4)"))
     return suggest.accuracy(vocab, known.select(typo.alias("typo"), F.col("term").alias("expected")))
 

@@ -21,7 +21,7 @@ CE = {
     "ranked": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM hits",
     "lg": """SELECT qid, external_id AS doc_id, round(max(score), 6) AS score FROM run_hits
              WHERE external_id <> '' AND isfinite(score) GROUP BY ALL""",
-    "logged": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM lg QUALIFY rank <= 100",
+    "logged": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM lg QUALIFY rank <= 200",
     "judged": "SELECT qid, doc_id, max(greatest(coalesce(relevance, 0), 0)) AS rel FROM qrels GROUP BY ALL",
     "valid": "SELECT shard, term, doc_id, max(tf) AS tf FROM postings WHERE doc_id IS NOT NULL AND tf > 0 GROUP BY ALL",
     "gapped": "SELECT *, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY shard, term ORDER BY doc_id), 0) AS gap FROM valid",
@@ -85,7 +85,7 @@ _SPELL = {
 _RRF = """SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(run * 1000000 + rank) AS first FROM runs GROUP BY ALL"""
 _FUSED = "SELECT qid, doc_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, doc_id))::INTEGER AS rank FROM summed"
 _TWO = {
-    "runs": "SELECT qid, doc_id, rank, 0 AS run FROM ranked WHERE rank <= 10 UNION ALL SELECT qid, doc_id, rank, 1 FROM logged",
+    "runs": "SELECT qid, doc_id, rank, 0 AS run FROM ranked WHERE rank <= 200 UNION ALL SELECT qid, doc_id, rank, 1 FROM logged",
     "summed": _RRF,
     "every": _FUSED,
 }
@@ -151,16 +151,16 @@ def oracle_sql() -> dict[str, str]:
     )
     reranked = {
         **_TWO,
-        "cut": "SELECT * FROM every WHERE rank <= 100",
+        "cut": "SELECT * FROM every WHERE rank <= 1000",
         "head": f"""SELECT c.qid, c.doc_id, rank AS old, {_CE} AS ce FROM cut c LEFT JOIN q USING (qid) LEFT JOIN p USING (doc_id)
-                    WHERE rank <= 10 AND (query IS NULL OR p.doc_id IS NOT NULL)""",
-        "parts": "SELECT qid, doc_id, old, ce FROM head UNION ALL SELECT qid, doc_id, rank, NULL FROM cut WHERE rank > 10",
-        "opened": "SELECT *, bool_or(old <= 10 AND ce IS NULL) OVER (PARTITION BY qid) AS open, min(ce) OVER (PARTITION BY qid) AS least, count(ce) OVER (PARTITION BY qid) AS heads, (row_number() OVER (PARTITION BY qid ORDER BY ce DESC NULLS LAST, old))::INTEGER AS rank FROM parts",
+                    WHERE rank <= 50 AND (query IS NULL OR p.doc_id IS NOT NULL)""",
+        "parts": "SELECT qid, doc_id, old, ce FROM head UNION ALL SELECT qid, doc_id, rank, NULL FROM cut WHERE rank > 50",
+        "opened": "SELECT *, bool_or(old <= 50 AND ce IS NULL) OVER (PARTITION BY qid) AS open, min(ce) OVER (PARTITION BY qid) AS least, count(ce) OVER (PARTITION BY qid) AS heads, (row_number() OVER (PARTITION BY qid ORDER BY ce DESC NULLS LAST, old))::INTEGER AS rank FROM parts",
     }
     funnel = {
         **_TWO,
         "cut": "SELECT * FROM every WHERE rank <= 1000",
-        "scored": f"SELECT c.qid, c.doc_id, c.score AS rrf_score, rank AS rrf_rank, CASE WHEN rank <= 20 THEN {_CE} END AS ce_score FROM cut c LEFT JOIN q USING (qid) LEFT JOIN p USING (doc_id)",
+        "scored": f"SELECT c.qid, c.doc_id, c.score AS rrf_score, rank AS rrf_rank, CASE WHEN rank <= 50 THEN {_CE} END AS ce_score FROM cut c LEFT JOIN q USING (qid) LEFT JOIN p USING (doc_id)",
         "final": "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY ce_score DESC NULLS LAST, rrf_rank))::INTEGER AS rank FROM scored QUALIFY rank <= 10",
     }
     spell = lambda names, select, **kw: with_(names, select, **(_SPELL | kw))
@@ -213,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
                FROM pre JOIN vocab ON substr(term, 1, length(prefix)) = prefix QUALIFY rank <= 8""",
             pre="SELECT DISTINCT substr(word, 1, 3) AS prefix FROM words WHERE length(word) >= 2",
         ),
-        "delete_variants": with_("vocab", "SELECT term, variant FROM vocab_d1", **_deletes("vocab", "term", 1)),
+        "delete_variants": with_("vocab", "SELECT term, variant FROM vocab_d2", **_deletes("vocab", "term", 2)),
         "spell_candidates": spell("words vocab", "SELECT word, term FROM cand"),
         "spell_topk": spell("words vocab", "SELECT word, term, distance, weight, rank FROM near WHERE rank <= 5"),
         "spell_correct": spell("words vocab", "SELECT word, term, distance, weight FROM near WHERE rank = 1"),
@@ -232,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
             """SELECT count(*) AS pairs, sum((coalesce(near.term, '') = expected)::INTEGER)::BIGINT AS correct,
                       round(avg((coalesce(near.term, '') = expected)::INTEGER) * 100, 4) AS percent
                FROM typos LEFT JOIN near ON near.word = typo AND near.rank = 1""",
-            typos="SELECT substr(term, 1, 2) || substr(term, 4) AS typo, term AS expected FROM vocab WHERE length(term) >= 5 AND weight > 20",
+            typos="SELECT substr(term, 1, 2) || substr(term, 4) AS typo, term AS expected FROM vocab WHERE length(term) >= 3",
             words="SELECT DISTINCT typo AS word FROM typos",
             **_SPELL,
         ),
@@ -263,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
             "q p ranked logged",
             """SELECT f.qid, f.doc_id, f.rank, b.score AS bm25_score, b.rank AS bm25_rank, l.score AS dense_score, l.rank AS dense_rank,
                       rrf_score, rrf_rank, ce_score, CASE WHEN ce_score IS NOT NULL THEN 'reranked' ELSE 'hybrid' END AS stage
-               FROM final f LEFT JOIN ranked b ON b.rank <= 10 AND b.qid = f.qid AND b.doc_id = f.doc_id
+               FROM final f LEFT JOIN ranked b ON b.rank <= 200 AND b.qid = f.qid AND b.doc_id = f.doc_id
                LEFT JOIN logged l ON l.qid = f.qid AND l.doc_id = f.doc_id""",
             **funnel,
         ),
