@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import bm25, fusion, metrics, suggest
 from gleanery.operators.index import Index, with_shard
+from gleanery.runtime import ship
 from gleanery.sources import text
 
 
@@ -55,6 +56,7 @@ def main(args: list[str] | None = None) -> list[str]:
     """Runs a command; returns the lines it printed."""
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("gleanery").getOrCreate()
+    ship(spark)
     lines = globals()[f"_{a.command}"](spark, a)
     print("\n".join(lines))
     return lines
@@ -77,13 +79,15 @@ def _batch(spark, a) -> list[str]:
     queries = text.read_tsv(spark, a.queries, "qid", "query")
     if a.index:
         search = bm25.search_pruned if a.wand else bm25.search
-        run = search(Index.open(spark, a.index), queries, a.top_k, a.k1, a.b)
+        ix = Index.open(spark, a.index)
+        run = search(ix, queries, (a.per_shard_k or a.top_k) if ix.by else a.top_k, a.k1, a.b)
+        run = bm25.gather(run, a.top_k) if ix.by else run
     elif a.shards > 1:
         rows = with_shard(_corpus(spark, a.corpus), a.shards)
         leaf = bm25.search_documents(rows, queries, a.per_shard_k or a.top_k, a.k1, a.b, by="shard")
         run = bm25.gather(leaf, a.top_k)
     elif a.wand:
-        run = bm25.search_pruned(Index.build(_corpus(spark, a.corpus)), queries, a.top_k, a.k1, a.b)
+        run = bm25.search_pruned(Index.build(_corpus(spark, a.corpus)).stored(), queries, a.top_k, a.k1, a.b)
     else:
         run = bm25.search_documents(_corpus(spark, a.corpus), queries, a.top_k, a.k1, a.b)
     text.write_run(run, a.output, a.tag)

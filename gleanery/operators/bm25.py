@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from gleanery.functions.scoring import B, K1, bm25_weight, idf
 from gleanery.functions.text import tokens
 from gleanery.operators.index import Index
-from gleanery.runtime import materialise, spread
+from gleanery.runtime import fits_broadcast, materialise, spread
 
-#: Query terms that are broadcast at a time; more queries are scored in several passes.
-QUERY_TERMS = 500_000
+#: Query terms that are broadcast at a time, and entries of the tables of idf by part and term; more queries are scored
+#: in several passes.
+QUERY_TERMS, ENTRIES = 500_000, 4_000_000
 
 #: Documents scored at once in a task.
 DOCUMENTS = 8192
@@ -39,13 +40,24 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = (), score: str = "sco
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _part(k1: float, b: float):
+    return F.col("qtf") * F.col("idf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+
+
+def _beside(rows: DataFrame, small: DataFrame, keys: list[str], *strings: str) -> DataFrame:
+    """Join with a written table, which is broadcast if it was measured to fit; else AQE splits what is skewed."""
+    return rows.join(F.broadcast(small) if fits_broadcast(small, 128, *strings) else small, keys)
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """By joins alone: query terms meet their postings, contributions are summed by (query, document)."""
+    """By joins alone: query terms meet their postings, contributions are summed by (query, document).
+
+    An index that is split gives a ranking for each part, by the part's own statistics.
+    """
     by = index.by
-    terms = query_terms(queries).join(index.with_idf().select(*by, "term", "idf", "avgdl"), "term")
-    hits = index.postings.join(terms, [*by, "term"])
-    part = F.col("qtf") * F.col("idf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    scored = hits.groupBy(*by, "qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    terms = materialise(query_terms(queries).join(index.with_idf().select(*by, "term", "idf", "avgdl"), "term"), "asked")
+    hits = _beside(index.postings, terms, [*by, "term"], "term", "qid")
+    scored = hits.groupBy(*by, "qid", "doc_id").agg(F.round(F.sum(_part(k1, b)), 6).alias("score"))
     return top_k(scored, k, by)
 
 
@@ -65,7 +77,7 @@ def search_documents(
     stats = words.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     parts = {r["part"]: (r["n"], r["avgdl"] or 0.0) for r in stats.collect()}  # a row for each part
     all_terms = query_terms(queries)
-    passes = max(1, -(-all_terms.count() // QUERY_TERMS))
+    passes = max(1, -(-all_terms.count() // max(1, min(QUERY_TERMS, ENTRIES // max(len(parts), 1)))))
     out = None
     for i in range(passes):
         mine = all_terms.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i) if passes > 1 else all_terms
@@ -160,32 +172,62 @@ def _best(ids: pa.Array, part: int, d, w, first, qids, starts, which, qtf, k: in
 
 
 def search_pruned(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, share: float = 0.8) -> DataFrame:
-    """The same rows, with fewer postings read: upper bounds rule documents out before they are scored.
-
-    For each query the terms with the highest bounds that make up ``share`` of the bounds' sum are scored first. The k-th
-    best of these partial scores is what a document must reach; those whose partial score and the other terms' bounds
-    stay under it are dropped, and only the rest is scored in full. Nothing that belongs to the result is lost: each
-    part is positive and none exceeds its bound; the slack covers rounding.
+    """The same rows as ``search``, with fewer postings read: upper bounds rule documents out before they are scored.
+
+    For each query the terms with the highest bounds that make up ``share`` of the bounds' sum are scored first, from
+    their lists alone. The k-th best of these partial scores is what a document must reach; those whose partial score and
+    the other terms' bounds stay under it are dropped. The other terms of the rest are looked up in the documents'
+    forward lists, not in their own lists, which are the longest. Only queries whose other terms alone could reach the
+    limit are scored from all lists. Nothing that belongs to the result is lost: each part is positive and none
+    exceeds its bound; the slack covers rounding. Open a written index for this: one that is only planned is made anew
+    for each step.
     """
-    terms = query_terms(queries).join(index.with_idf().select("term", "idf", "avgdl"), "term").join(index.bounds(k1, b), "term")
-    terms = terms.withColumn("ub", F.col("qtf") * F.col("bound"))
-    by_bound = Window.partitionBy("qid").orderBy(F.col("ub").desc(), F.col("term"))
+    by = list(index.by)
+    of_query = [*by, "qid"]
+    known = index.with_idf().select(*by, "term", "idf", "avgdl").join(index.bounds(k1, b), [*by, "term"])
+    terms = query_terms(queries).join(known, "term").withColumn("ub", F.col("qtf") * F.col("bound"))
+    by_bound = Window.partitionBy(*of_query).orderBy(F.col("ub").desc(), F.col("term"))
     before = F.coalesce(F.sum("ub").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    terms = terms.withColumn("first", before < F.lit(share) * F.sum("ub").over(Window.partitionBy("qid")))
-    part = F.col("qtf") * F.col("idf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    partial = index.postings.join(terms.where("first"), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("partial"))
-    rest = terms.groupBy("qid").agg(F.coalesce(F.sum(F.when(~F.col("first"), F.col("ub"))), F.lit(0.0)).alias("rest"))
-    best = Window.partitionBy("qid").orderBy(F.col("partial").desc(), F.col("doc_id"))
-    theta = partial.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("qid", F.col("partial").alias("theta"))
-    limits = rest.join(theta, "qid", "left").select("qid", "rest", F.coalesce("theta", F.lit(-1.0)).alias("theta"))
-    # Where the rest alone could reach the limit, any document with one of its terms is a candidate.
-    open_ = limits.where(F.col("rest") >= F.col("theta") - 1e-6)
-    more = index.postings.join(terms.where("not first").join(open_, "qid", "left_semi"), "term").select("qid", "doc_id")
-    near = partial.join(limits, "qid").where(F.col("partial") + F.col("rest") >= F.col("theta") - 1e-6)
-    candidates = near.select("qid", "doc_id").unionByName(more).distinct()
-    full = index.postings.join(terms, "term").join(candidates, ["qid", "doc_id"], "left_semi")
-    scored = full.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k)
+    terms = terms.withColumn("first", before < F.lit(share) * F.sum("ub").over(Window.partitionBy(*of_query)))
+    terms = materialise(terms, "asked")
+
+    partial = _listed(index, terms.where("first"), k1, b).groupBy(*of_query, "doc_id").agg(F.sum("part").alias("partial"))
+    partial = materialise(partial, "partial")
+    best = Window.partitionBy(*of_query).orderBy(F.col("partial").desc(), F.col("doc_id"))
+    theta = partial.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(*of_query, F.col("partial").alias("theta"))
+    rest = terms.groupBy(*of_query).agg(F.coalesce(F.sum(F.when(~F.col("first"), F.col("ub"))), F.lit(0.0)).alias("rest"))
+    limits = rest.join(theta, of_query, "left").withColumn("theta", F.coalesce("theta", F.lit(-1.0)))
+    limits = materialise(limits.withColumn("open", F.col("rest") >= F.col("theta") - 1e-6), "limits")
+
+    # Queries whose other terms could reach the limit by themselves: all their lists.
+    again = terms.join(limits.where("open"), of_query, "left_semi")
+    whole = _listed(index, again, k1, b).groupBy(*of_query, "doc_id").agg(F.sum("part").alias("total"))
+    # The others: what is near the limit, and its other terms from the forward lists.
+    near = _beside(partial, limits.where("not open"), of_query, "qid").where(F.col("partial") + F.col("rest") >= F.col("theta") - 1e-6)
+    near = materialise(near.select(*of_query, "doc_id", "partial"), "near")
+    wanted = near.select(*by, "doc_id").distinct()
+    lists = index.forward.join(wanted, [*by, "doc_id"], "left_semi")
+    others = terms.where("not first").select(*of_query, "term", "qtf", "idf", "avgdl")
+    asked = near.join(lists, [*by, "doc_id"]).select(*of_query, "doc_id", "dl", F.explode("terms").alias("t"))
+    asked = asked.select(*of_query, "doc_id", "dl", "t.term", "t.tf")
+    more = _beside(asked, materialise(others, "others"), [*of_query, "term"], "qid", "term").groupBy(*of_query, "doc_id").agg(F.sum(_part(k1, b)).alias("more"))
+    full = near.join(more, [*of_query, "doc_id"], "left")
+    full = full.select(*of_query, "doc_id", (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("total"))
+    scored = whole.select(*of_query, "doc_id", "total").unionByName(full)
+    return top_k(scored.select(*of_query, "doc_id", F.round("total", 6).alias("score")), k, tuple(by))
+
+
+#: Terms that are put into a filter, by which row groups are skipped; more are joined.
+NAMED = 5000
+
+
+def _listed(index: Index, terms: DataFrame, k1: float, b: float) -> DataFrame:
+    """(by..., qid, doc_id, part) of the lists of these query terms, only their row groups being read."""
+    names = [r["term"] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
+    lists = index.postings.where(F.col("term").isin(names)) if len(names) <= NAMED else index.postings
+    small = materialise(terms.select(*index.by, "qid", "term", "qtf", "idf", "avgdl"), "listed")
+    hits = _beside(lists, small, [*index.by, "term"], "qid", "term")
+    return hits.select(*index.by, "qid", "doc_id", _part(k1, b).alias("part"))
 
 
 def gather(by_shard: DataFrame, k: int) -> DataFrame:

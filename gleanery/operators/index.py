@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.scoring import B, K1, bm25_weight, idf, varint_size
 from gleanery.functions.text import shard_of, tokens
-from gleanery.runtime import fits_broadcast, join_per_key
+from gleanery.runtime import fits_broadcast, join_per_key, materialise, shared_path, shuffle_partitions
 
 
 @dataclass
@@ -25,6 +25,7 @@ class Index:
     terms: DataFrame
     stats: DataFrame
     by: tuple[str, ...] = ()
+    _forward: DataFrame | None = None
 
     @classmethod
     def build(cls, documents: DataFrame, by: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -53,24 +54,52 @@ class Index:
         )
         return cls(postings, docs, terms, stats, by)
 
+    @property
+    def forward(self) -> DataFrame:
+        """(by..., doc_id, dl, terms): the terms of each document with their tf."""
+        if self._forward is not None:
+            return self._forward
+        return self.postings.groupBy(*self.by, "doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+
     def write(self, path: str) -> None:
-        """Postings and terms are sorted by term within their files, so that a filter on terms skips row groups."""
+        """Postings and terms are sorted by term within their files, so that a filter on terms skips row groups.
+
+        What the index is split by is written beside it.
+        """
         self.postings.repartitionByRange(*self.by, "term", "doc_id").sortWithinPartitions(*self.by, "term", "doc_id").write.mode(
             "overwrite"
         ).parquet(f"{path}/postings")
         for name in ("docs", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         self.terms.sort(*self.by, "term").write.mode("overwrite").parquet(f"{path}/terms")
+        read = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        forward = Index(read, self.docs, self.terms, self.stats, self.by).forward
+        forward.repartitionByRange(*self.by, "doc_id").sortWithinPartitions(*self.by, "doc_id").write.mode("overwrite").parquet(f"{path}/forward")
+        meta = self.postings.sparkSession.createDataFrame([(list(self.by),)], "by array<string>")
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> Index:
-        """An index written before; Spark raises AnalysisException if there is none or its columns are others."""
-        read = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats")}
+    def open(cls, spark: SparkSession, path: str, by: tuple[str, ...] | None = None) -> Index:
+        """An index written before, split as it was written.
+
+        Spark raises AnalysisException if there is none, and ValueError is raised if its columns are others or if it is
+        not split by ``by`` where that is given.
+        """
+        read = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats", "forward")}
+        kept = tuple(spark.read.parquet(f"{path}/meta").first()["by"])
+        if by is not None and tuple(by) != kept:
+            raise ValueError(f"the index is split by {list(kept)}, not by {list(by)}")
         need = {"postings": {"term", "doc_id", "tf", "dl"}, "docs": {"doc_id", "dl"}, "terms": {"term", "df"}, "stats": {"n", "avgdl"}}
         for name, columns in need.items():
-            if missing := (columns | set(by)) - set(read[name].columns):
+            if missing := (columns | set(kept)) - set(read[name].columns):
                 raise ValueError(f"not an index: {name} lacks {', '.join(sorted(missing))}")
-        return cls(read["postings"], read["docs"], read["terms"], read["stats"], by)
+        return cls(*(read[n] for n in ("postings", "docs", "terms", "stats")), kept, read["forward"])
+
+    def stored(self) -> Index:
+        """The same index, written to the shared folder and opened."""
+        path = shared_path(self.postings.sparkSession, "index")
+        self.write(path)
+        return Index.open(self.postings.sparkSession, path, self.by)
 
     def df(self, term: str) -> DataFrame:
         return self.terms.where(F.col("term") == term).select(*self.by, "df")
@@ -87,12 +116,10 @@ class Index:
     def impacts(self, k1: float = K1, b: float = B) -> DataFrame:
         """(by..., term, doc_id, impact): what a posting adds to a query with that term once."""
         terms = self.with_idf().select(*self.by, "term", "df", "idf", "avgdl")
-        if self.by:
-            joined = self.postings.join(terms, [*self.by, "term"])
-        else:
-            joined = join_per_key(
-                self.postings, terms, "term", "df", self.postings.count(), fits_broadcast(terms, 64, "term")
-            )
+        key = F.struct(*self.by, "term").alias("__k")
+        rows, terms = self.postings.withColumn("__k", key), terms.select(key, "df", "idf", "avgdl")
+        held = self.terms.select(*self.by, "term")
+        joined = join_per_key(rows, terms, "__k", "df", self.postings.count(), fits_broadcast(held, 80, "term"))
         weight = F.col("idf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
         return joined.select(*self.by, "term", "doc_id", weight.alias("impact"))
 
@@ -106,23 +133,47 @@ def with_shard(documents: DataFrame, shards: int, id_col: str = "doc_id") -> Dat
     return documents.withColumn("shard", shard_of(F.col(id_col), shards))
 
 
+def _ranged(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``rows`` with ``__p``, the part of a range partition by (by..., order) they lie in: long lists fill many parts."""
+    n = shuffle_partitions(rows.sparkSession)
+    return materialise(rows.repartitionByRange(n, *by, order).withColumn("__p", F.spark_partition_id()), "ranged")
+
+
+def _carried(per_part: DataFrame, by: list[str], value) -> DataFrame:
+    """(by..., __p, carry): ``value`` over a list's parts before each part. A part continues one list at most, so these
+    are fewer than the parts."""
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return per_part.select(*by, "__p", value.over(before).alias("carry")).where("carry is not null")
+
+
 def gaps(postings: DataFrame, by: list[str], doc: str = "doc_id") -> DataFrame:
-    """Postings with ``gap``: the distance of each document's number from the one before in its list; the first is itself."""
-    before = F.lag(doc).over(Window.partitionBy(*by).orderBy(doc))
-    return postings.withColumn("gap", F.col(doc) - F.coalesce(before, F.lit(0)))
+    """Postings with ``gap``: the distance of each document's number from the one before in its list; the first is itself.
+
+    Lists are cut by ranges, so that a term found everywhere is no large task; what a part's first posting lacks is
+    carried over from the parts before.
+    """
+    rows = _ranged(postings, by, doc)
+    carry = _carried(rows.groupBy(*by, "__p").agg(F.max(doc).alias("last")), by, F.max("last"))
+    before = F.lag(doc).over(Window.partitionBy("__p", *by).orderBy(doc))
+    joined = rows.withColumn("__before", before).join(F.broadcast(carry), [*by, "__p"], "left")
+    gap = F.col(doc) - F.coalesce("__before", "carry", F.lit(0))
+    return joined.select(*postings.columns, gap.alias("gap"))
 
 
 def from_gaps(gapped: DataFrame, by: list[str], position: str, gap: str = "gap") -> DataFrame:
-    """The documents' numbers back from the gaps."""
-    frame = Window.partitionBy(*by).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.withColumn("doc_id", F.sum(gap).over(frame))
+    """The documents' numbers back from the gaps, by running sums over the parts of each list."""
+    rows = _ranged(gapped, by, position)
+    carry = _carried(rows.groupBy(*by, "__p").agg(F.sum(gap).alias("total")), by, F.sum("total"))
+    frame = Window.partitionBy("__p", *by).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumn("__sum", F.sum(gap).over(frame)).join(F.broadcast(carry), [*by, "__p"], "left")
+    return joined.select(*gapped.columns, (F.col("__sum") + F.coalesce("carry", F.lit(0))).alias("doc_id"))
 
 
 def size_report(postings: DataFrame, shard: str = "shard", doc: str = "doc_id") -> DataFrame:
     """A row for each shard and one for all (null): documents, terms, postings, raw and compressed bytes and their ratio.
 
     A term found in several shards counts in each. Raw is 8 bytes a posting; compressed is gap and tf as variable-length
-    numbers.
+    numbers; ``percent`` is how much of the raw size that saves, ``mib`` what is left in MiB.
     """
     valid = postings.where(F.col(doc).isNotNull() & (F.col("tf") > 0)).groupBy(shard, "term", doc).agg(F.max("tf").alias("tf"))
     sized = gaps(valid, [shard, "term"], doc).select(
@@ -142,4 +193,6 @@ def size_report(postings: DataFrame, shard: str = "shard", doc: str = "doc_id")
         (F.col("postings") * 8).alias("raw"),
         "compressed",
         F.round(F.try_divide(F.col("postings") * F.lit(8.0), F.col("compressed")), 4).alias("ratio"),
+        F.round(100 - F.try_divide(F.col("compressed") * F.lit(12.5), F.col("postings")), 4).alias("percent"),
+        F.round(F.col("compressed") / F.lit(float(1 << 20)), 4).alias("mib"),
     )

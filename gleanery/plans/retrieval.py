@@ -98,7 +98,25 @@ def bm25_classic_params(spark: S, d: str) -> D:
 
 
 def bm25_wand_top10(spark: S, d: str) -> D:
-    return bm25.search_pruned(_index(spark, d), tables.queries(spark, d), 10)
+    return bm25.search_pruned(_index(spark, d).stored(), tables.queries(spark, d), 10)
+
+
+def index_roundtrip(spark: S, d: str) -> D:
+    """Postings and statistics of an index split by shard, as read back from its files."""
+    ix = _index(spark, d, ("shard",)).stored()
+    terms = ix.terms.select("shard", "term", "df", "cf")
+    return ix.postings.join(terms, ["shard", "term"]).join(ix.docs.select("shard", "doc_id"), ["shard", "doc_id"])
+
+
+def sharded_index_bm25(spark: S, d: str) -> D:
+    """Search over an index written by shard, each shard with its own statistics, then one ranking."""
+    found = bm25.search(_index(spark, d, ("shard",)).stored(), tables.queries(spark, d), 10)
+    return bm25.gather(found, 10).select("qid", "doc_id", "shard", "score", "rank")
+
+
+def sharded_wand_top10(spark: S, d: str) -> D:
+    found = bm25.search_pruned(_index(spark, d, ("shard",)).stored(), tables.queries(spark, d), 10)
+    return bm25.gather(found, 10).select("qid", "doc_id", "shard", "score", "rank")
 
 
 def sharded_bm25(spark: S, d: str) -> D:
@@ -294,7 +312,7 @@ def trec_run_lines(spark: S, d: str) -> D:
 FUNCTIONS = [
     tokenize_counts, clean_text, title_body_concat, last_token, shard_assignment, doc_lengths, corpus_stats, term_stats,
     term_bounds, vocab_frequency, idf_table, impacts, bm25_single, bm25_relational_top10, bm25_batch_top10,
-    bm25_classic_params, bm25_wand_top10, sharded_bm25, shard_vs_single_overlap, shard_stats, posting_gaps,
+    bm25_classic_params, bm25_wand_top10, index_roundtrip, sharded_index_bm25, sharded_wand_top10, sharded_bm25, shard_vs_single_overlap, shard_stats, posting_gaps,
     posting_gaps_undone, index_stats, autocomplete, autocomplete_batch, delete_variants, spell_candidates, spell_topk,
     spell_correct, query_autocorrect, spell_accuracy, dense_knn, cosine_normalize, ann_top10, ann_recall,
     encoded_queries, rrf_fuse, hybrid_top10, rerank_head_tail, funnel_provenance, ndcg10, rr10, recall100, recall1000,

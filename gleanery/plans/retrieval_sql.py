@@ -188,6 +188,13 @@ def oracle_sql() -> dict[str, str]:
         "bm25_classic_params": with_("ranked", top10, 1.2, 0.75),
         "bm25_wand_top10": with_("ranked", top10),
         "sharded_bm25": with_("qt post", "SELECT qid, doc_id, shard, score, rank FROM sr", **_sharded()),
+        "sharded_index_bm25": with_("qt post", "SELECT qid, doc_id, shard, score, rank FROM sr", **_sharded()),
+        "sharded_wand_top10": with_("qt post", "SELECT qid, doc_id, shard, score, rank FROM sr", **_sharded()),
+        "index_roundtrip": with_(
+            "post",
+            "SELECT shard, doc_id, term, tf, dl::INTEGER AS dl, df, cf FROM post JOIN st USING (shard, term)",
+            st="SELECT shard, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY ALL",
+        ),
         "shard_vs_single_overlap": with_(
             "ranked",
             """SELECT r.qid, round(avg((s.doc_id IS NOT NULL)::INTEGER), 6) AS overlap FROM ranked r
@@ -201,7 +208,8 @@ def oracle_sql() -> dict[str, str]:
             "gapped",
             """SELECT shard, sum(docs)::BIGINT AS docs, sum(terms)::BIGINT AS terms, sum(postings)::BIGINT AS postings,
                       8 * sum(postings)::BIGINT AS raw, sum(bytes)::BIGINT AS compressed,
-                      round(sum(postings) * 8.0 / nullif(sum(bytes), 0), 4) AS ratio
+                      round(sum(postings) * 8.0 / nullif(sum(bytes), 0), 4) AS ratio,
+                      round(100 - sum(bytes) * 12.5 / nullif(sum(postings), 0), 4) AS percent, round(sum(bytes) / 1048576.0, 4) AS mib
                FROM per GROUP BY ROLLUP (shard)""",
             per=f"""SELECT shard, count(DISTINCT doc_id) AS docs, count(DISTINCT term) AS terms, count(*) AS postings,
                     sum({varint("gap")} + {varint("tf")}) AS bytes FROM gapped GROUP BY shard""",

@@ -36,25 +36,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all is one machine.
+
+    On a cluster a folder of one machine would lose the parts that other machines write, so RuntimeError is raised there.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gleanery-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/gleanery-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Cuts the lineage and survives the loss of executors; the files go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanery-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
