@@ -1,13 +1,15 @@
-"""Command line: build, batch, suggest and evaluate over tab-separated files. Run ``python -m gleanery.cli -h``."""
+"""Command line: build, batch, embed, dense, fuse, rerank, suggest, evaluate, eval and demo over text files. Run ``python -m gleanery.cli -h``."""
 
 from __future__ import annotations
 
 import argparse
+import functools
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators import bm25, fusion, metrics, suggest
+from gleanery.operators import bm25, dense, fusion, metrics, suggest
 from gleanery.operators.index import Index, with_shard
 from gleanery.runtime import ship
 from gleanery.sources import text
@@ -43,12 +45,45 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--complete")
     g.add_argument("--correct")
     g.add_argument("--eval-spell")
+    g.add_argument("--interactive", action="store_true", help="answer lines of the standard input")
     g.add_argument("--top-k", type=int, default=8)
     g.add_argument("--max-edit", type=int, default=2)
     e = sub.add_parser("evaluate", help="grade a run; judgements are lines: qid, 0, document, relevance")
     e.add_argument("--run", required=True)
     e.add_argument("--qrels", required=True)
     e.add_argument("--measures", nargs="+", default=list(metrics.MEASURES))
+    v = sub.add_parser("embed", help="encode a collection or queries by the stand-in encoder")
+    v.add_argument("--input", required=True)
+    v.add_argument("--output", required=True)
+    v.add_argument("--kind", choices=["doc", "query"], default="doc")
+    v.add_argument("--model", default="hashing")
+    v.add_argument("--dim", type=int, default=64)
+    v.add_argument("--batch-size", type=int, default=256)
+    v.add_argument("--max-length", type=int)
+    d = sub.add_parser("dense", help="rank encoded documents for encoded queries")
+    d.add_argument("--documents", required=True)
+    d.add_argument("--queries", required=True)
+    d.add_argument("--output", required=True)
+    d.add_argument("--dim", type=int, default=64)
+    d.add_argument("--top-k", type=int, default=1000)
+    d.add_argument("--approximate", action="store_true")
+    r = sub.add_parser("rerank", help="order the head of a run by the stand-in scorer")
+    r.add_argument("--run", required=True)
+    r.add_argument("--corpus", required=True)
+    r.add_argument("--queries", required=True)
+    r.add_argument("--output", required=True)
+    r.add_argument("--depth", type=int, default=100)
+    r.add_argument("--batch-size", type=int, default=64)
+    r.add_argument("--max-length", type=int, default=512)
+    w = sub.add_parser("eval", help="rank, write the run and grade it in one go")
+    for name in ("corpus", "queries", "qrels", "output"):
+        w.add_argument(f"--{name}", required=True)
+    w.add_argument("--top-k", type=int, default=1000)
+    w.add_argument("--k1", type=float, default=0.9)
+    w.add_argument("--b", type=float, default=0.4)
+    w.add_argument("--measures", nargs="+", default=list(metrics.MEASURES))
+    x = sub.add_parser("demo", help="a few texts, a few queries")
+    x.add_argument("--top-k", type=int, default=3)
     return p
 
 
@@ -110,9 +145,60 @@ def _suggest(spark, a) -> list[str]:
     if a.eval_spell:
         r = suggest.accuracy(vocab, text.read_tsv(spark, a.eval_spell, "typo", "expected"), a.max_edit).first()
         out.append(f"{r['correct']} of {r['pairs']} ({r['percent']:.1f} %)")
+    for line in sys.stdin if a.interactive else ():
+        if line.strip():
+            out += _answer(vocab, line, a.top_k, a.max_edit)
     return out
 
 
+def _answer(vocab, line: str, k: int, max_edit: int) -> list[str]:
+    """What an interactive line gets: terms of a prefix, or what a word was meant to be."""
+    known = lambda w: not vocab.where(F.col("term") == w).isEmpty()
+    kind, word = suggest.intent(line, known)
+    if kind == "complete":
+        return [f"{r['term']}\t{r['weight']}" for r in suggest.complete(vocab, word, k).collect()]
+    rows = suggest.correct_all(vocab, vocab.sparkSession.createDataFrame([(word,)], "word string"), k, max_edit)
+    return [suggest.message(word, [(r["term"], r["distance"]) for r in rows.orderBy("rank").collect()])]
+
+
+def _embed(spark, a) -> list[str]:
+    rows = text.unique(text.read_tsv(spark, a.input))
+    load = functools.partial(dense.hashing_encoder, a.dim)
+    made = dense.embed(rows, load, instruction=dense.instruction(a.kind, a.model), batch=a.batch_size, max_length=a.max_length)
+    dense.write_vectors(made, a.output)
+    return [f"{dense.read_vectors(spark, a.output).count()} vectors"]
+
+
+def _dense(spark, a) -> list[str]:
+    search = dense.ann if a.approximate else dense.knn
+    run = search(dense.read_vectors(spark, a.documents), dense.read_vectors(spark, a.queries), a.top_k, a.dim, decimals=6)
+    text.write_run(run, a.output, "dense")
+    return [f"{spark.read.text(a.output).count()} lines"]
+
+
+def _rerank(spark, a) -> list[str]:
+    queries = text.read_tsv(spark, a.queries, "qid", "query")
+    scorer = fusion.batched(batch=a.batch_size, max_length=a.max_length)
+    run = fusion.rerank(text.read_run(spark, a.run), queries, _corpus(spark, a.corpus), a.depth, scorer)
+    text.write_run(run, a.output, "rerank")
+    return [f"{spark.read.text(a.output).count()} lines"]
+
+
+def _eval(spark, a) -> list[str]:
+    run = bm25.search_documents(_corpus(spark, a.corpus), text.read_tsv(spark, a.queries, "qid", "query"), a.top_k, a.k1, a.b)
+    text.write_run(run, a.output, "bm25")
+    a.run = a.output
+    return [f"{spark.read.text(a.output).count()} lines", *_evaluate(spark, a)]
+
+
+def _demo(spark, a) -> list[str]:
+    said = ["a heron waits by the river", "the river froze in winter", "winter markets sell warm bread", "bread rises while the baker waits"]
+    documents = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(said)], "doc_id string, text string")
+    queries = spark.createDataFrame([(q, q) for q in ("river winter", "warm bread", "waits")], "qid string, query string")
+    rows = bm25.search_documents(documents, queries, a.top_k).orderBy("qid", "rank").collect()
+    return [f"{r['qid']}\t{r['rank']}\t{r['doc_id']}\t{r['score']:.4f}" for r in rows]
+
+
 def _evaluate(spark, a) -> list[str]:
     f = F.split(F.trim("value"), r"\s+")
     judged = spark.read.text(a.qrels).select(f.alias("f")).where(F.size("f") >= 4)

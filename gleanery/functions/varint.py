@@ -20,6 +20,12 @@ def encode(values) -> bytes:
     return (sevens | more)[place < size[:, None]].astype(np.uint8).tobytes()
 
 
+def sizes(values) -> np.ndarray:
+    """Bytes that ``encode`` takes for each of the values."""
+    v = np.asarray(values, np.uint64)
+    return 1 + sum((v >> np.uint64(b) != 0).astype(np.int64) for b in (7, 14, 21, 28))
+
+
 def decode(raw: bytes) -> list[int]:
     """The numbers of ``raw``; ValueError where it breaks off or a number is too long."""
     b = np.frombuffer(raw, np.uint8)

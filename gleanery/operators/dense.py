@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.scoring import dot, l2_normalise, norm
-from gleanery.runtime import fits_broadcast, materialise
+from gleanery.functions.clusters import kmeans, nearest_rows
+from gleanery.functions.scoring import l2_normalise, norm
+from gleanery.runtime import materialise
 
 #: Query vectors that are held by a task at a time.
 QUERIES = 20_000
 
-#: Vectors the cells of the approximate search are fitted on, at most.
-SAMPLE = 50_000
+#: Vectors the cells of the approximate search are fitted on, at most, and of these such as are taken as queries.
+SAMPLE, TRIED = 50_000, 512
 
 
 def _shaped(vectors: DataFrame, dim: int) -> DataFrame:
@@ -30,19 +31,24 @@ def _shaped(vectors: DataFrame, dim: int) -> DataFrame:
 def knn(documents: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, decimals: int = 4) -> DataFrame:
     """(qid, doc_id, score, rank): the ``k`` nearest of (id, v) ``documents`` by cosine, for each of (id, v) ``queries``.
 
-    Scores are rounded before they are ranked, ties by ascending id. Each task multiplies its documents, block by block,
-    with the query vectors, which are broadcast in passes of QUERIES, and sends on its own ``k`` best of each query;
-    no vector of a document is moved. A vector of another length, or with a null or non-finite part, or all zero, takes
-    no part.
+    Scores are rounded before they are ranked, ties by ascending id. Each task multiplies its documents, batch by batch,
+    with the query vectors, which are broadcast in passes of QUERIES, and sends on those that reach the k-th best score
+    it has seen of the query; no vector of a document is moved. A vector of another length, or with a null or
+    non-finite part, or all zero, takes no part.
     """
-    docs, asked = _shaped(documents, dim), _shaped(queries, dim)
+    return _nearest(_shaped(documents, dim), _shaped(queries, dim), k, dim, decimals, None, 0)
+
+
+def _nearest(docs: DataFrame, asked: DataFrame, k: int, dim: int, decimals: int, centroids: np.ndarray | None, probes: int) -> DataFrame:
     passes = max(1, -(-asked.count() // QUERIES))
-    spark = documents.sparkSession
+    spark = docs.sparkSession
     out = None
     for i in range(passes):
         mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i) if passes > 1 else asked
-        rows = mine.toPandas()  # about QUERIES rows
-        held = spark.sparkContext.broadcast((rows["id"].tolist(), np.array(rows["v"].tolist(), np.float64).reshape(-1, dim)))
+        rows = mine.toArrow().combine_chunks()  # about QUERIES rows
+        q = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        visits = None if centroids is None else nearest_rows(q, centroids, probes)
+        held = spark.sparkContext.broadcast((rows.column("id").combine_chunks(), q, centroids, visits))
         found = _products(docs, held, k, decimals, asked.schema["id"].dataType.simpleString())
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
@@ -50,52 +56,78 @@ def knn(documents: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, de
 
 
 def _products(docs: DataFrame, held, k: int, decimals: int, qid_type: str) -> DataFrame:
+    """(qid, doc_id, score): of every batch what may be among the first k; with cells, of those a query visits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = held.value
+        qids, q, centroids, visits = held.value
+        if not len(qids) or k <= 0:
+            return
+        best = np.full((len(qids), k), -np.inf)  # the k best scores this task has seen of each query
         for batch in batches:
-            if not batch.num_rows or not len(qids) or k <= 0:
+            if not batch.num_rows:
                 continue
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for at in range(0, len(qids), 256):
-                s = np.round(q[at : at + 256] @ x.T, decimals)
-                least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k < s.shape[1] else np.full((len(s), 1), -np.inf)
-                a, b = np.nonzero(s >= least)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qids[at + i] for i in a]), batch.column(0).take(pa.array(b)), pa.array(s[a, b])],
-                    ["qid", "doc_id", "score"],
-                )
+            if centroids is None:
+                parts = [(np.arange(len(qids)), np.arange(len(x)))]
+            else:
+                cell = nearest_rows(x, centroids, 1)[:, 0]
+                asking, of = np.nonzero(np.isin(visits, np.unique(cell))), visits
+                by_cell: dict[int, list] = {}
+                for row, c in zip(asking[0].tolist(), of[asking].tolist()):
+                    by_cell.setdefault(c, []).append(row)
+                parts = [(np.array(rows), np.flatnonzero(cell == c)) for c, rows in by_cell.items()]
+            for rows, members in parts:
+                for at in range(0, len(rows), 256):
+                    mine = rows[at : at + 256]
+                    s = np.round(q[mine] @ x[members].T, decimals)
+                    both = np.concatenate([best[mine], s], axis=1)
+                    best[mine] = -np.partition(-both, k - 1, axis=1)[:, :k]
+                    a, b = np.nonzero(s >= best[mine].min(axis=1)[:, None])
+                    if not len(a):
+                        continue
+                    yield pa.RecordBatch.from_arrays(
+                        [qids.take(pa.array(mine[a])), batch.column(0).take(pa.array(members[b])), pa.array(s[a, b])],
+                        ["qid", "doc_id", "score"],
+                    )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "v").mapInArrow(run, f"qid {qid_type}, doc_id {kind}, score double")
 
 
-def ann(documents: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, cells: int = 32, probes: int = 8, decimals: int = 4) -> DataFrame:
+def ann(
+    documents: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, recall: float = 0.99, decimals: int = 4,
+    cells: int | None = None, probes: int | None = None,
+) -> DataFrame:
     """As ``knn`` but each query only meets the documents of its ``probes`` nearest cells.
 
-    Cells are those of a k-means over up to SAMPLE of the documents; every document lies in one.
+    Cells are those of a k-means over up to SAMPLE of the documents, by default about as many as the root of their
+    number; every document lies in one. Where ``probes`` isn't given it is the least number with which TRIED of the
+    sample, taken as queries, find a share ``recall`` of their own nearest in the sample: collections that fall into
+    groups need few. Documents are scored where they lie, so a large cell is no large task.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     docs = materialise(_shaped(documents, dim), "vectors")
     n = docs.count()
     if not n:
         return knn(documents, queries, k, dim, decimals)
     part = docs if n <= SAMPLE else docs.sample(SAMPLE / n, seed=3)
-    model = KMeans(k=min(cells, n), seed=3, maxIter=8, featuresCol="f").fit(part.select(array_to_vector("v").alias("f")))
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    # Nearest by distance: |c|^2 - 2 c v orders as it does.
-    far = F.transform(centers, lambda c, i: F.struct((dot(c, c) - 2 * dot(c, F.col("v"))).alias("d"), i.alias("cell")))
-    placed = docs.select(F.col("id").alias("doc_id"), "v", F.array_min(far)["cell"].alias("cell"))
-    visits = F.slice(F.array_sort(far), 1, min(probes, cells))
-    asked = _shaped(queries, dim).select(
-        F.col("id").alias("qid"), F.col("v").alias("q"), F.explode(F.transform(visits, lambda x: x["cell"])).alias("cell")
-    )
-    asked = materialise(asked, "asked")
-    pairs = placed.join(F.broadcast(asked) if fits_broadcast(asked, 16 + 8 * dim) else asked, "cell")
-    scored = pairs.select("qid", "doc_id", F.round(dot(F.col("v"), F.col("q")), decimals).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    sample = part.select("v").toArrow().column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)  # about SAMPLE rows
+    rng = np.random.default_rng(3)
+    centroids = kmeans(sample.astype(np.float32), min(cells or max(1, round(n**0.5)), max(1, len(sample) // 4)), rng, spherical=True)
+    centroids = centroids.astype(np.float64)
+    return _nearest(docs, _shaped(queries, dim), k, dim, decimals, centroids, min(probes or _probes(sample, centroids, k, recall, rng), len(centroids)))
+
+
+def _probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> int:
+    tried = rng.choice(len(sample), min(TRIED, len(sample)), replace=False)
+    s = sample[tried] @ sample.T
+    s[np.arange(len(tried)), tried] = -np.inf
+    k = max(1, min(k, len(sample) - 1))
+    nearest = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    order = nearest_rows(sample[tried], centroids, len(centroids))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centroids), dtype=order.dtype)[None, :], axis=1)
+    needed = np.take_along_axis(place, nearest_rows(sample, centroids, 1)[:, 0][nearest], axis=1) + 1
+    return int(np.quantile(needed, recall, method="higher"))
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
@@ -129,13 +161,39 @@ def instruction(kind: str, model: str) -> str:
     return QUERY_INSTRUCTION if family and kind == "query" else ""
 
 
-def embed(texts: DataFrame, load: Callable[[], Callable] = hashing_encoder, text_col: str = "text", instruction: str = "") -> DataFrame:
-    """``texts`` with ``embedding``; ``load`` makes the encoder once in each worker. ``instruction`` goes before each text."""
+def embed(
+    texts: DataFrame, load: Callable[[], Callable] = hashing_encoder, text_col: str = "text", instruction: str = "",
+    batch: int = 256, max_length: int | None = None,
+) -> DataFrame:
+    """``texts`` with ``embedding``; ``load`` makes the encoder once in each worker.
+
+    The encoder gets ``batch`` texts at a time, each cut to its first ``max_length`` tokens if given, as models are, with
+    ``instruction`` before it.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
-        for batch in batches:
-            yield pd.Series(encode(batch))
+        for series in batches:
+            out: list = []
+            for at in range(0, len(series), batch):
+                out += list(encode(series.iloc[at : at + batch]))
+            yield pd.Series(out)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if max_length is not None:
+        text = F.array_join(F.slice(F.split(text, r"\s+"), 1, max_length), " ")
+    return texts.withColumn("embedding", run(F.concat(F.lit(instruction), text)))
+
+
+def write_vectors(vectors: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """(id, embedding) as Parquet, each row's id with its vector."""
+    vectors.select(F.col(id_col).alias("id"), "embedding").write.mode("overwrite").parquet(path)
+
 
-    return texts.withColumn("embedding", run(F.concat(F.lit(instruction), F.coalesce(F.col(text_col), F.lit("")))))
+def read_vectors(spark, path: str) -> DataFrame:
+    """(id, v) of vectors written before; ValueError if the columns are others."""
+    rows = spark.read.parquet(path)
+    if {"id", "embedding"} - set(rows.columns):
+        raise ValueError(f"no vectors: {path} has {', '.join(rows.columns)}")
+    return rows.select("id", F.col("embedding").cast("array<double>").alias("v"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import varint
 from gleanery.functions.scoring import B, K1, bm25_weight, idf, varint_size
 from gleanery.functions.text import shard_of, tokens
 from gleanery.runtime import fits_broadcast, join_per_key, materialise, shared_path, shuffle_partitions
@@ -85,15 +89,16 @@ class Index:
         Spark raises AnalysisException if there is none, and ValueError is raised if its columns are others or if it is
         not split by ``by`` where that is given.
         """
-        read = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats", "forward")}
-        kept = tuple(spark.read.parquet(f"{path}/meta").first()["by"])
-        if by is not None and tuple(by) != kept:
-            raise ValueError(f"the index is split by {list(kept)}, not by {list(by)}")
         need = {"postings": {"term", "doc_id", "tf", "dl"}, "docs": {"doc_id", "dl"}, "terms": {"term", "df"}, "stats": {"n", "avgdl"}}
+        read = {}
         for name, columns in need.items():
-            if missing := (columns | set(kept)) - set(read[name].columns):
+            read[name] = spark.read.parquet(f"{path}/{name}")
+            if missing := columns - set(read[name].columns):
                 raise ValueError(f"not an index: {name} lacks {', '.join(sorted(missing))}")
-        return cls(*(read[n] for n in ("postings", "docs", "terms", "stats")), kept, read["forward"])
+        kept = tuple(spark.read.parquet(f"{path}/meta").first()["by"])
+        if by is not None and tuple(by) != kept:
+            raise ValueError(f"the index is split by {list(kept)}, not by {list(by)}")
+        return cls(*read.values(), kept, spark.read.parquet(f"{path}/forward"))
 
     def stored(self) -> Index:
         """The same index, written to the shared folder and opened."""
@@ -169,6 +174,65 @@ def from_gaps(gapped: DataFrame, by: list[str], position: str, gap: str = "gap")
     return joined.select(*gapped.columns, (F.col("__sum") + F.coalesce("carry", F.lit(0))).alias("doc_id"))
 
 
+#: Numbers of documents that one packed list may span; longer lists are cut.
+SPAN = 1 << 20
+
+
+def pack_lists(postings: DataFrame, by: list[str], doc: str = "doc_id") -> DataFrame:
+    """(by..., block, n, raw): posting lists as bytes, gap and tf of each document as variable-length numbers.
+
+    A list is cut into blocks of SPAN document numbers, each of which begins anew, so none has to be packed in one task.
+    """
+    cut = postings.select(*by, F.floor(F.col(doc) / SPAN).cast("int").alias("block"), F.col(doc).cast("long").alias("doc"), F.col("tf").cast("long").alias("tf"))
+    keys = [*by, "block"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        doc, tf = (table.column(c).to_numpy() for c in ("doc", "tf"))
+        new = np.zeros(len(doc), bool)
+        new[0] = True
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        first = np.flatnonzero(new)
+        before = np.concatenate([[0], doc[:-1]])
+        before[first] = 0
+        flat = np.stack([doc - before, tf], axis=1).ravel()
+        raw, size = varint.encode(flat), varint.sizes(flat).reshape(-1, 2).sum(axis=1)
+        ends = np.cumsum(np.add.reduceat(size, first))
+        blobs = [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        n = np.diff(np.append(first, len(doc)))
+        at = pa.array(first)
+        columns = [table.column(k).combine_chunks().take(at) for k in keys] + [pa.array(n, pa.int32()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, "n", "raw"])
+
+    return cut.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(run, f"{kinds}, n int, raw binary")
+
+
+def unpack_lists(lists: DataFrame, by: list[str], doc: str = "doc_id") -> DataFrame:
+    """(by..., doc, tf) of packed lists; ValueError from the task where one breaks off."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.schema.fields if f.name in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = np.array(varint.decode(b"".join(batch.column(len(by) + 1).to_pylist())), np.int64).reshape(-1, 2)
+            n = batch.column(len(by)).to_numpy()
+            first = np.cumsum(n) - n
+            total = np.cumsum(flat[:, 0])
+            ids = total - np.repeat(total[first] - flat[first, 0], n)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), n))
+            columns = [batch.column(i).take(row) for i in range(len(by))] + [pa.array(ids), pa.array(flat[:, 1], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*by, doc, "tf"])
+
+    return lists.select(*by, "n", "raw").mapInArrow(run, f"{kinds}, `{doc}` bigint, tf int")
+
+
 def size_report(postings: DataFrame, shard: str = "shard", doc: str = "doc_id") -> DataFrame:
     """A row for each shard and one for all (null): documents, terms, postings, raw and compressed bytes and their ratio.
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,10 +57,41 @@ def osa(a: str, b: str) -> int:
     return row[-1]
 
 
+def osa_all(a: list[str], b: list[str]) -> np.ndarray:
+    """``osa`` of many pairs at once: the table of all of them is filled cell by cell, pairs of like length together."""
+    out = np.zeros(len(a), np.int32)
+    size = np.maximum([len(x) for x in a], [len(x) for x in b]) if len(a) else out
+    group = np.ceil(np.maximum(size, 1) / 4).astype(int)
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        x, y = (np.array([s[i] for i in at], f"U{4 * g}") for s in (a, b))
+        out[at] = _table(*(z.view(np.uint32).reshape(len(at), -1) for z in (x, y)), np.char.str_len(x), np.char.str_len(y))
+    return out
+
+
+def _table(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    width = y.shape[1] + 1
+    older = before = None
+    row = np.tile(np.arange(width, dtype=np.int32)[:, None], (1, len(x)))
+    out = np.where(n == 0, m, 0).astype(np.int32)
+    for i in range(1, x.shape[1] + 1):
+        older, before, row = before, row, np.empty_like(row)
+        row[0] = i
+        for j in range(1, width):
+            differs = x[:, i - 1] != y[:, j - 1]
+            best = np.minimum(np.minimum(before[j], row[j - 1]) + 1, before[j - 1] + differs)
+            if i > 1 and j > 1:
+                swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(swapped, np.minimum(best, older[j - 2] + 1), best)
+            row[j] = best
+        done = np.flatnonzero(n == i)
+        out[done] = row[m[done], done]
+    return out
+
+
 @F.pandas_udf(IntegerType())
-def _osa(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([osa(x, y) for x, y in zip(a, b)], dtype="int32")
+def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(osa_all(a.tolist(), b.tolist()))
 
 
 def distance(a: Column, b: Column) -> Column:

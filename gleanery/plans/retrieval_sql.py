@@ -142,13 +142,13 @@ def oracle_sql() -> dict[str, str]:
             ELSE greatest(0.04, least(1.0, ({s} - low_{s}) / (high_{s} - low_{s}))) END, 6) AS bar_{s}"""
         for s, v in fin.items()
     )
-    single = with_(
-        "post idfs",
-        """SELECT doc_id, score, (row_number() OVER (ORDER BY score DESC, doc_id))::INTEGER AS rank FROM one QUALIFY rank <= 10""",
-        one=f"""SELECT doc_id, round(sum(qtf * {impact()}), 6) AS score FROM
+    one = {
+        "asked": f"""SELECT doc_id, round(sum(qtf * {impact()}), 6) AS score FROM
                 (SELECT unnest(['how', 'does', 'the', 'protein', 'change', 'market']) AS term, unnest([1, 1, 2, 1, 1, 1]) AS qtf)
                 JOIN post USING (term) JOIN idfs USING (term) GROUP BY doc_id""",
-    )
+        "top": "SELECT doc_id, score, (row_number() OVER (ORDER BY score DESC, doc_id))::INTEGER AS rank FROM asked QUALIFY rank <= 10",
+    }
+    single = with_("post idfs", "SELECT * FROM top", **one)
     reranked = {
         **_TWO,
         "cut": "SELECT * FROM every WHERE rank <= 1000",
@@ -249,6 +249,7 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 4) AS score
                   FROM v a, v b WHERE a.vec_id % 100 = 0)
             SELECT qid, doc_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 10""",
+        "ann_recall": "SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0",
         "cosine_normalize": """SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings""",
         "rrf_fuse": with_(
             "",
@@ -267,6 +268,13 @@ def oracle_sql() -> dict[str, str]:
                FROM opened JOIN (SELECT qid, doc_id, score AS was FROM cut) USING (qid, doc_id) WHERE rank <= 20""",
             **reranked,
         ),
+        "rerank_batched": with_(
+            "q p ranked logged",
+            """SELECT qid, doc_id, round(CASE WHEN open THEN was WHEN ce IS NOT NULL THEN ce
+                 ELSE coalesce(least, 0.0) - 1 - (rank - heads - 1) END, 6) AS score, rank
+               FROM opened JOIN (SELECT qid, doc_id, score AS was FROM cut) USING (qid, doc_id) WHERE rank <= 20""",
+            **reranked,
+        ),
         "funnel_provenance": with_(
             "q p ranked logged",
             """SELECT f.qid, f.doc_id, f.rank, b.score AS bm25_score, b.rank AS bm25_rank, l.score AS dense_score, l.rank AS dense_rank,
@@ -290,6 +298,31 @@ def oracle_sql() -> dict[str, str]:
         "score_bars": f"""WITH d AS (SELECT DISTINCT * FROM search_results), r AS (SELECT search_id, {ranges} FROM d GROUP BY search_id)
             SELECT search_id, doc_id, {bars} FROM d JOIN r USING (search_id)""",
         "candidate_subset": with_("p logged", "SELECT doc_id, text FROM p WHERE doc_id IN (SELECT doc_id FROM logged WHERE rank <= 5)"),
+        "tsv_roundtrip": with_("p", f"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g')) AS text FROM p"),
+        "run_roundtrip": with_("logged", "SELECT qid, doc_id, rank, round(score, 6) AS score, 'logged' AS tag FROM logged WHERE rank <= 10"),
+        "posting_lists_roundtrip": with_("valid", "SELECT shard, term, doc_id::BIGINT AS doc_id, tf FROM valid"),
+        "posting_list_bytes": with_(
+            "gapped", f"SELECT shard, term, count(*) AS postings, sum({varint('gap')} + {varint('tf')})::BIGINT AS bytes FROM gapped GROUP BY ALL"
+        ),
+        "index_lookup": with_("post terms", "SELECT term, doc_id, tf, df FROM post JOIN terms USING (term) WHERE term IN ('protein', 'market')"),
+        "vocabulary_with_terms": with_(
+            "vocab words",
+            """SELECT term, sum(weight)::BIGINT AS weight FROM (SELECT * FROM vocab UNION ALL SELECT word, 5 FROM words) GROUP BY term""",
+        ),
+        "embeddings_roundtrip": with_("q", "SELECT qid, 64 AS dim FROM q"),
+        "engine_search": with_(
+            "post idfs",
+            "SELECT doc_id, score, rank, coalesce(text, '') AS text FROM top JOIN p USING (doc_id)",
+            **one,
+        ),
+        "engine_answer": with_(
+            "post idfs",
+            """SELECT doc_id, (row_number() OVER (ORDER BY ce DESC, bm25_rank))::INTEGER AS rank, bm25_score, bm25_rank, ce AS ce_score, 'reranked' AS stage
+               FROM (SELECT doc_id, score AS bm25_score, rank AS bm25_rank,
+                       round(len(list_intersect(['how', 'does', 'the', 'protein', 'change', 'market'], list_distinct(w))) / 6.0, 6) AS ce
+                     FROM top JOIN w USING (doc_id) WHERE rank <= 50) QUALIFY rank <= 10""",
+            **(one | {"top": one["top"].replace("<= 10", "<= 200")}),
+        ),
         "trec_run_lines": with_(
             "logged",
             "SELECT qid, rank, qid || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', score) || ' logged' AS line FROM logged WHERE rank <= 10",

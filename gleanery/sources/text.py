@@ -88,18 +88,18 @@ def write_run(run: DataFrame, path: str, tag: str, decimals: int | None = 6) ->
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """(qid, doc_id, rank, score, tag) of TREC lines, ranked again by score.
 
-    The rank in the file only settles ties, after which the id does; lines under six fields are skipped.
+    Ties keep the order of the lines; the rank in the file is not read; lines under six fields are skipped.
     """
     from pyspark.sql import Window
 
     f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(f.alias("f")).where(F.size("f") >= 6)
+    rows = spark.read.text(path).select(f.alias("f"), F.monotonically_increasing_id().alias("line")).where(F.size("f") >= 6)
     rows = rows.select(
+        "line",
         F.col("f")[0].alias("qid"),
         F.col("f")[2].alias("doc_id"),
-        F.col("f")[3].try_cast("int").alias("old"),
         F.col("f")[4].try_cast("double").alias("score"),
         F.col("f")[5].alias("tag"),
     )
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("old").asc(), F.col("doc_id").asc())
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("line").asc())
     return rows.select("qid", "doc_id", F.row_number().over(order).alias("rank"), "score", "tag")

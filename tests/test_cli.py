@@ -48,3 +48,30 @@ def test_export(spark, tmp_path):
 def test_six_significant_digits(spark):
     run = spark.createDataFrame([("q", "d", 1, 12.3456789), ("q", "e", 2, 2.0)], "qid string, doc_id string, rank int, score double")
     assert [r["line"] for r in text.run_lines(run, "t", None).orderBy("rank").collect()] == ["q Q0 d 1 12.3457 t", "q Q0 e 2 2 t"]
+
+
+def test_sharded_index_is_searched_by_shard(spark, files):
+    cli.main(["build", "--corpus", f"{files}/c.tsv", "-o", f"{files}/sx", "--shards", "2"])
+    lines = []
+    for more in (["--index", f"{files}/sx"], ["--index", f"{files}/sx", "--wand"], ["--corpus", f"{files}/c.tsv", "--shards", "2"]):
+        cli.main(["batch", *more, "--queries", f"{files}/q.tsv", "--output", f"{files}/o", "--tag", "t"])
+        lines.append([r[0] for r in spark.read.text(f"{files}/o").collect()])
+    assert lines[0] == lines[1] == lines[2] and len(lines[0]) == 3
+
+
+def test_dense_rerank_and_eval(spark, files, monkeypatch):
+    import io
+
+    for kind, name in (("doc", "c"), ("query", "q")):
+        cli.main(["embed", "--input", f"{files}/{name}.tsv", "--output", f"{files}/{name}v", "--kind", kind, "--batch-size", "2"])
+    assert cli.main(["dense", "--documents", f"{files}/cv", "--queries", f"{files}/qv", "--output", f"{files}/dr", "--top-k", "2"]) == ["4 lines"]
+    assert cli.main(["dense", "--documents", f"{files}/cv", "--queries", f"{files}/qv", "--output", f"{files}/ar", "--top-k", "2", "--approximate"]) == ["4 lines"]
+    args = ["rerank", "--run", f"{files}/dr", "--corpus", f"{files}/c.tsv", "--queries", f"{files}/q.tsv", "--output", f"{files}/rr"]
+    assert cli.main(args) == ["4 lines"]
+    first = [r[0].split() for r in spark.read.text(f"{files}/rr").collect()]
+    assert {(f[0], f[2]) for f in first if f[3] == "1" and f[0] == "q2"} == {("q2", "d3")}
+    out = cli.main(["eval", "--corpus", f"{files}/c.tsv", "--queries", f"{files}/q.tsv", "--qrels", f"{files}/j.txt", "--output", f"{files}/er", "--measures", "RR@10"])
+    assert out == ["3 lines", "RR@10\t1.0000"]
+    monkeypatch.setattr("sys.stdin", io.StringIO("che*\n\n?chesse\nfox\n"))
+    assert cli.main(["suggest", "--corpus", f"{files}/c.tsv", "--interactive"]) == ["cheese\t1", "chesse: did you mean cheese?", "fox\t2"]
+    assert len(cli.main(["demo"])) == 7

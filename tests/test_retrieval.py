@@ -68,6 +68,9 @@ def test_index_on_disk(spark, docs, asked, tmp_path):
     back = Index.open(spark, str(tmp_path / "ix"), ("shard",))
     assert rows(bm25.gather(bm25.search(back, asked, 5), 5)) == rows(bm25.gather(bm25.search(ix, asked, 5), 5))
     assert back.lookup("fox").count() == 3 and back.docs.count() == 8
+    assert Index.open(spark, str(tmp_path / "ix")).by == ("shard",)
+    with pytest.raises(ValueError):
+        Index.open(spark, str(tmp_path / "ix"), ())
     docs.write.parquet(str(tmp_path / "no/postings"))
     for name in ("docs", "terms", "stats"):
         docs.write.parquet(str(tmp_path / f"no/{name}"))
@@ -83,6 +86,88 @@ def test_gaps_round_trip(spark):
     assert sorted(r["doc_id"] for r in back.collect()) == [0, 3, 9]
 
 
+def test_long_lists_are_cut_and_joined(spark):
+    rows_ = [("hot", i, 1) for i in range(0, 4000, 3)] + [(f"t{i}", i % 7, 2) for i in range(60)]
+    df = spark.createDataFrame(rows_, "term string, doc_id int, tf int").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        gapped = index.gaps(df, ["term"])
+        assert sorted(r["gap"] for r in gapped.where("term = 'hot'").collect()) == [0] + [3] * 1333
+        back = index.from_gaps(gapped.withColumnRenamed("doc_id", "pos"), ["term"], "pos")
+        assert back.where("doc_id <> pos").isEmpty() and back.count() == len(rows_)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_packed_lists(spark, monkeypatch):
+    rows_ = [(None, "a", 5, 2), (0, "a", 0, 1), (0, "a", 300, 7), (0, "b", 70_000, 1), (1, "a", 4_000_000_000, 1)]
+    df = spark.createDataFrame(rows_, "shard int, term string, doc_id bigint, tf int")
+    for span in (1 << 20, 100):
+        monkeypatch.setattr(index, "SPAN", span)
+        back = index.unpack_lists(index.pack_lists(df, ["shard", "term"]), ["shard", "term"])
+        assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows_, key=repr)
+    assert index.pack_lists(df.limit(0), ["shard", "term"]).collect() == []
+
+
+def test_pruned_search_reads_fewer_postings(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(1)
+    texts = [(f"d{i}", " ".join(["the of and in"] * 3 + [rnd.choice(["rare", "seldom", "few"]) + str(rnd.randrange(40)) for _ in range(5)])) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    asked = spark.createDataFrame([("q1", "the rare3 of few7"), ("q2", "in the seldom5 and rare1")], "qid string, query string")
+    ix = Index.build(docs).stored()
+    read = []
+    listed = bm25._listed
+
+    def counted(index_, terms, k1, b):
+        names = [r["term"] for r in terms.select("term").distinct().collect()]
+        read.append(index_.postings.where(F.col("term").isin(names)).count())
+        return listed(index_, terms, k1, b)
+
+    monkeypatch.setattr(bm25, "_listed", counted)
+    assert rows(bm25.search_pruned(ix, asked, 3)) == rows(bm25.search(ix, asked, 3))
+    full = ix.lookup("the", "of", "in", "and", "rare3", "few7", "seldom5", "rare1").count()
+    assert sum(read) < 0.2 * full
+
+
+def test_a_failing_scorer_leaves_the_fused_order(docs):
+    def broken():
+        def score(pairs):
+            raise RuntimeError("no model")
+
+        return score
+
+    out = Engine.of(docs).answer("fox dog", scorer=fusion.batched(broken))
+    assert not out["pipeline"]["rerank"] and "rerank_error" in out["pipeline"]
+    assert [r["stage"] for r in out["results"].collect()] == ["lexical"] * 4
+    assert Engine.of(docs).answer("fox dog", scorer=fusion.batched())["pipeline"]["rerank"]
+
+
+def test_vectors_on_disk(spark, docs, tmp_path):
+    path = str(tmp_path / "v")
+    dense.write_vectors(dense.embed(docs, batch=2, max_length=1), path)
+    back = {r["id"]: r["v"] for r in dense.read_vectors(spark, path).collect()}
+    assert len(back) == 8 and back["d2"] != back["d8"] and sum(x != 0 for x in back["d2"]) == 1
+    docs.write.parquet(str(tmp_path / "no"))
+    with pytest.raises(ValueError):
+        dense.read_vectors(spark, str(tmp_path / "no"))
+
+
+def test_approximate_search_finds_most(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(30, 16))
+    v = centers[rng.integers(0, 30, 900)] + 0.3 * rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    some = df.where("id % 10 = 0")
+    exact, near = dense.knn(df, some, 5, 16), dense.ann(df, some, 5, 16)
+    assert metrics.overlap_at_k(exact, near, 5).agg(F.avg("overlap")).first()[0] >= 0.95
+    # Collections in groups need few cells.
+    assert dense._probes(v / np.linalg.norm(v, axis=1)[:, None], centers / np.linalg.norm(centers, axis=1)[:, None], 5, 0.99, rng) < 10
+
+
 def test_fusion(spark):
     run = lambda ids, q="q": spark.createDataFrame([(q, d, i + 1) for i, d in enumerate(ids)], "qid string, doc_id string, rank int")
     got = fusion.fuse([run("abc"), run("bd")]).orderBy("rank").collect()

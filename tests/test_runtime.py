@@ -40,3 +40,23 @@ def test_ship(spark):
     runtime.ship(spark)
     runtime.ship(spark)
     assert spark.sparkContext._gleanery_shipped
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
+
+
+def test_left_join_per_key(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), "id")
+    per_key = runtime.materialise(spark.createDataFrame([(0, 2000)], "k bigint, c bigint"))
+    for fits in (True, False):
+        got = runtime.join_per_key(rows, per_key, "k", "c", 3000, fits, "left")
+        assert got.count() == 3000 and got.where("c is null").count() == 2000

@@ -74,3 +74,13 @@ def test_accuracy_and_messages(spark, words):
     assert "others: b" in suggest.message("x", [("a", 1), ("b", 2)])
     known = {"the"}.__contains__
     assert [suggest.intent(x, known) for x in ("sci*", "?teh", "the", "teh")] == [("complete", "sci"), ("correct", "teh"), ("complete", "the"), ("correct", "teh")]
+
+
+def test_many_distances_at_once():
+    import random
+
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randrange(9)))
+    pairs = [(word(), word()) for _ in range(600)] + [("", ""), ("", "abc"), ("abcdefghij" * 5, "abcdefghji" * 5)]
+    assert suggest.osa_all(*map(list, zip(*pairs))).tolist() == [suggest.osa(a, b) for a, b in pairs]
+    assert len(suggest.osa_all([], [])) == 0
