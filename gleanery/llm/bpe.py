@@ -129,6 +129,21 @@ def _split(text: str) -> list[str]:
     return text.split(" ")
 
 
+def shipped(spark, path: str) -> str:
+    """Hand the vocabulary file to the executors; what it is called there."""
+    sent = spark.sparkContext.__dict__.setdefault("_gleanery_vocabularies", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
+def _local(name: str) -> str:
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> BytePairEncoder:
     """The worker's encoder, loaded once."""
@@ -145,8 +160,10 @@ def encode(
     """
     rows = documents.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
 
+    name = shipped(documents.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(_local(name))
         for batch in batches:
             for part in _slices(batch, 1):
                 flat: list[int] = []
@@ -167,8 +184,10 @@ def count_tokens(
     """(id, number of tokens), as ``encode`` but with the ids left in the worker."""
     rows = documents.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
 
+    name = shipped(documents.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(_local(name))
         for batch in batches:
             for part in _slices(batch, 1):
                 counts = [len(bpe.encode(text)) for text in part.column(1).to_pylist()]
