@@ -258,9 +258,14 @@ def funnel_provenance(spark: S, d: str) -> D:
     return fusion.funnel(*_runs(spark, d), *rows, FUNNEL.top_k, FUNNEL.rerank_depth, FUNNEL.rrf_k)
 
 
+def _judged_run(spark: S, d: str) -> D:
+    """The run that is graded: of the judged queries, as no other has a grade."""
+    judged = tables.table(spark, d, "qrels").select("qid").distinct()
+    return bm25.search_documents(tables.passages(spark, d), tables.queries(spark, d).join(judged, "qid", "left_semi"), 1000)
+
+
 def _graded(spark: S, d: str, *measures: str) -> D:
-    run = bm25.search_documents(tables.passages(spark, d), tables.queries(spark, d), 1000)
-    rows = metrics.per_query(run, tables.table(spark, d, "qrels"), measures)
+    rows = metrics.per_query(_judged_run(spark, d), tables.table(spark, d, "qrels"), measures)
     return rows.select("qid", "measure", F.round("value", 6).alias("value"))
 
 
@@ -285,8 +290,7 @@ def average_precision(spark: S, d: str) -> D:
 
 
 def scorecard(spark: S, d: str) -> D:
-    run = bm25.search_documents(tables.passages(spark, d), tables.queries(spark, d), 1000)
-    return metrics.scorecard(run, tables.table(spark, d, "qrels"))
+    return metrics.scorecard(_judged_run(spark, d), tables.table(spark, d, "qrels"))
 
 
 def _results(spark: S, d: str) -> D:
