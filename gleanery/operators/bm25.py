@@ -24,8 +24,8 @@ from gleanery.runtime import fits_broadcast, materialise, spread
 #: in several passes.
 QUERY_TERMS, ENTRIES = 500_000, 4_000_000
 
-#: Documents scored at once in a task.
-DOCUMENTS = 8192
+#: Documents scored at once in a task: each such block sends on the first k of a query.
+DOCUMENTS = 32_768
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _score(words: DataFrame, terms: DataFrame, parts: dict, k: int, k1: float, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, idfs, parts, qids, starts, which, qtf = shared.value
         known = pa.array(names, pa.string())
-        for batch in batches:
+        for batch in _gathered(batches, DOCUMENTS):
             of = batch.column(1).to_numpy(zero_copy_only=False)
             for p in np.unique(of):
                 mine = batch.filter(pa.array(of == p))
@@ -135,6 +135,20 @@ def _score(words: DataFrame, terms: DataFrame, parts: dict, k: int, k1: float, b
     return spread(words.select("doc_id", "part", "w")).mapInArrow(run, f"part int, qid {qkind}, doc_id {kind}, score double")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _best(ids: pa.Array, part: int, d, w, first, qids, starts, which, qtf, k: int) -> Iterator[pa.RecordBatch]:
     """The ``k`` best of a block for each query; all of those that tie with the last, which the next step settles."""
     found_q, found_d, found_s = [], [], []
