@@ -113,7 +113,7 @@ def _build(spark, a) -> list[str]:
 def _batch(spark, a) -> list[str]:
     queries = text.read_tsv(spark, a.queries, "qid", "query")
     if a.index:
-        search = bm25.search_pruned if a.wand else bm25.search
+        search = bm25.search_pruned if a.wand else bm25.search_index
         ix = Index.open(spark, a.index)
         run = search(ix, queries, (a.per_shard_k or a.top_k) if ix.by else a.top_k, a.k1, a.b)
         run = bm25.gather(run, a.top_k) if ix.by else run

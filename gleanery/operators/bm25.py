@@ -76,30 +76,52 @@ def search_documents(
     words = materialise(documents.select("doc_id", part.alias("part"), tokens(F.col("text")).alias("w")), "words")
     stats = words.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     parts = {r["part"]: (r["n"], r["avgdl"] or 0.0) for r in stats.collect()}  # a row for each part
+    rows = words.select("doc_id", "part", F.size("w").alias("dl"), "w")
+
+    def df(wanted: DataFrame) -> DataFrame:
+        found = words.select("part", F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(wanted), "term")
+        return found.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"))
+
+    return _in_passes(rows, df, parts, queries, k, k1, b, by, spark)
+
+
+def search_index(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """The same rows as ``search`` for large batches of queries, from the forward lists of a written index.
+
+    As ``search_documents``, but nothing is cut into tokens or counted: term counts and statistics lie in the index. An
+    index may be split by one column of whole numbers.
+    """
+    if len(index.by) > 1:
+        return search(index, queries, k, k1, b)
+    by = index.by[0] if index.by else None
+    part = (F.col(by).cast("int") if by else F.lit(0)).alias("part")
+    parts = {r["part"]: (r["n"], r["avgdl"] or 0.0) for r in index.stats.select(part, "n", "avgdl").collect()}  # a row for each part
+    rows = index.forward.select("doc_id", part, "dl", F.col("terms.term").alias("w"), F.col("terms.tf").alias("tf"))
+
+    def df(wanted: DataFrame) -> DataFrame:
+        return index.terms.select(part, "term", "df").join(F.broadcast(wanted), "term")
+
+    return _in_passes(rows, df, parts, queries, k, k1, b, by, index.postings.sparkSession)
+
+
+def _in_passes(rows, df, parts: dict, queries: DataFrame, k: int, k1: float, b: float, by: str | None, spark) -> DataFrame:
     all_terms = query_terms(queries)
     passes = max(1, -(-all_terms.count() // max(1, min(QUERY_TERMS, ENTRIES // max(len(parts), 1)))))
     out = None
     for i in range(passes):
         mine = all_terms.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i) if passes > 1 else all_terms
-        found = _score(words, mine, parts, k, k1, b, spark)
+        found = _score(rows, df, mine, parts, k, k1, b, spark)
         out = found if out is None else out.unionByName(found)
     best = top_k(out, k, ("part",))
     return best.select(*([F.col("part").alias(by)] if by else []), "qid", "doc_id", "score", "rank")
 
 
-def _score(words: DataFrame, terms: DataFrame, parts: dict, k: int, k1: float, b: float, spark) -> DataFrame:
+def _score(words: DataFrame, df, terms: DataFrame, parts: dict, k: int, k1: float, b: float, spark) -> DataFrame:
     rows = terms.toPandas()  # about QUERY_TERMS rows
     names = sorted(rows["term"].unique())
     vocabulary = {t: i for i, t in enumerate(names)}
-    wanted = spark.createDataFrame([(t,) for t in names], "term string")
-    df = (
-        words.select("part", F.explode(F.array_distinct("w")).alias("term"))
-        .join(F.broadcast(wanted), "term")
-        .groupBy("part", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
     idfs = {p: np.zeros(len(names)) for p in parts}
-    for r in df.collect():  # a row for each part and query term
+    for r in df(spark.createDataFrame([(t,) for t in names], "term string")).collect():  # a row for each part and query term
         idfs[r["part"]][vocabulary[r["term"]]] = np.log(1 + (parts[r["part"]][0] - r["df"] + 0.5) / (r["df"] + 0.5))
     rows = rows.sort_values("qid", kind="stable")
     qids, starts = np.unique(rows["qid"].to_numpy(object), return_index=True)
@@ -117,12 +139,17 @@ def _score(words: DataFrame, terms: DataFrame, parts: dict, k: int, k1: float, b
                 mine = batch.filter(pa.array(of == p))
                 for at in range(0, mine.num_rows, DOCUMENTS):
                     block = mine.slice(at, DOCUMENTS)
-                    lists = block.column(2)
-                    dl = lists.value_lengths().to_numpy().astype(np.float64)
+                    lists = block.column(3)
+                    dl, size = block.column(2).to_numpy().astype(np.float64), lists.value_lengths().to_numpy()
                     t = pc.index_in(lists.flatten(), value_set=known)
                     t = pc.fill_null(t, -1).to_numpy(zero_copy_only=False)
-                    d = np.repeat(np.arange(len(dl)), dl.astype(np.int64))[t >= 0]
-                    pairs, tf = np.unique(t[t >= 0].astype(np.int64) * len(dl) + d, return_counts=True)
+                    d = np.repeat(np.arange(len(dl)), size)[t >= 0]
+                    key = t[t >= 0].astype(np.int64) * len(dl) + d
+                    if block.num_columns > 4:  # counted already
+                        order = np.argsort(key)
+                        pairs, tf = key[order], block.column(4).flatten().to_numpy()[t >= 0][order]
+                    else:
+                        pairs, tf = np.unique(key, return_counts=True)
                     t, d = pairs // max(len(dl), 1), pairs % max(len(dl), 1)
                     avgdl = parts[p][1]
                     length = dl[d] / avgdl if avgdl else np.ones(len(d))
@@ -132,7 +159,7 @@ def _score(words: DataFrame, terms: DataFrame, parts: dict, k: int, k1: float, b
 
     kind = words.schema["doc_id"].dataType.simpleString()
     qkind = terms.schema["qid"].dataType.simpleString()
-    return spread(words.select("doc_id", "part", "w")).mapInArrow(run, f"part int, qid {qkind}, doc_id {kind}, score double")
+    return spread(words).mapInArrow(run, f"part int, qid {qkind}, doc_id {kind}, score double")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:

@@ -111,7 +111,7 @@ def index_roundtrip(spark: S, d: str) -> D:
 
 def sharded_index_bm25(spark: S, d: str) -> D:
     """Search over an index written by shard, each shard with its own statistics, then one ranking."""
-    found = bm25.search(_index(spark, d, ("shard",)).stored(), tables.queries(spark, d), 10)
+    found = bm25.search_index(_index(spark, d, ("shard",)).stored(), tables.queries(spark, d), 10)
     return bm25.gather(found, 10).select("qid", "doc_id", "shard", "score", "rank")
 
 

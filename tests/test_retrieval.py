@@ -36,6 +36,7 @@ def test_all_ways_agree(docs, asked):
     assert rows(bm25.search_documents(docs, asked, 3)) == want
     for share in (0.3, 0.8, 1.0):
         assert rows(bm25.search_pruned(ix, asked, 3, share=share)) == want
+    assert rows(bm25.search_index(ix, asked, 3)) == want == rows(bm25.search_index(ix.stored(), asked, 3))
     whole = index.with_shard(docs, 1)
     assert rows(bm25.gather(bm25.search_documents(whole, asked, 3, by="shard"), 3)) == want
     assert rows(bm25.search(ix, asked, 0)) == [] == rows(bm25.search_documents(docs, asked, 0))
@@ -58,6 +59,7 @@ def test_a_repeated_query_term_counts_again(docs, asked):
 
 def test_empty_index(docs, asked):
     none = docs.limit(0)
+    assert rows(bm25.search_index(Index.build(none), asked)) == []
     assert rows(bm25.search_documents(none, asked)) == [] == rows(bm25.search(Index.build(none), asked))
     assert Index.build(none).stats.first()["avgdl"] == 0.0
 
