@@ -17,7 +17,9 @@ def brute(rows, n):
 
 
 @pytest.mark.parametrize("subgroup", [20, 200_000])
-def test_equals_brute_force(spark, subgroup):
+@pytest.mark.parametrize("fits", [True, False])
+def test_equals_brute_force(spark, subgroup, fits, monkeypatch):
+    monkeypatch.setattr(topn, "fits_broadcast", lambda *a: fits)
     rnd = random.Random(3)
     scores = [1.0, 2.0, 2.0, 3.5, None, float("nan"), float("inf"), float("-inf"), -1.0]
     rows = [
