@@ -261,3 +261,12 @@ def test_registered_funnel_is_as_deep_as_a_service(spark):
     found = retrieval.funnel_provenance(spark, d).agg(F.max("bm25_rank"), F.max("rrf_rank")).first()
     assert found[0] > 10 and 20 < found[1] <= 50
     assert retrieval.rerank_head_tail(spark, d).where("score < 0").isEmpty()
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_impacts_by_shard(docs, monkeypatch, fits):
+    monkeypatch.setattr(index, "fits_broadcast", lambda *a: fits)
+    ix = Index.build(index.with_shard(docs, 2), ("shard",))
+    got = {(r["shard"], r["term"], r["doc_id"]): r["impact"] for r in ix.impacts().collect()}
+    bounds = {(r["shard"], r["term"]): r["bound"] for r in ix.bounds().collect()}
+    assert len(got) == ix.postings.count() and all(0 < v <= bounds[s, t] + 1e-12 for (s, t, _), v in got.items())
