@@ -79,18 +79,18 @@ def _unicode() -> tuple[np.ndarray, np.ndarray]:
     return kind, mix(lower + np.uint64(1))
 
 
-def _ascii_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(values of the signs, starts, ends, text of each token): longest runs of ASCII letters and digits."""
+def _ascii_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signs, values by sign, starts, ends, text of each token): longest runs of ASCII letters and digits."""
     kind, value = _ascii()
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     inside = kind[data].astype(bool)
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-    return value[data], starts, ends, np.searchsorted(first, starts, side="right") - 1
+    return data, value, starts, ends, np.searchsorted(first, starts, side="right") - 1
 
 
-def _unit_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unit_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same of words of any script; of scripts without spaces each sign, with its marks, is a token."""
     kind, value = _unicode()
     data = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -107,7 +107,7 @@ def _unit_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     apart = np.concatenate([np.flatnonzero(k == _APART), [len(k)]])
     ends = np.minimum(apart[np.searchsorted(apart, starts)], np.concatenate([starts[1:], [len(k)]])) if len(starts) else starts
     first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-    return value[data], starts, ends, np.searchsorted(first, starts, side="right") - 1
+    return data, value, starts, ends, np.searchsorted(first, starts, side="right") - 1
 
 
 #: How texts may be cut: tokens of ASCII letters and digits, or words of any script.
@@ -119,16 +119,24 @@ def token_hashes(texts: list[str | None], cut: str = "ascii") -> tuple[np.ndarra
     plain = [(t or "").encode("utf-8", "surrogatepass") for t in texts] if cut == "ascii" else [t or "" for t in texts]
     if not plain:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value, starts, ends, of = CUTS[cut](plain)
-    up, down = _powers(len(value) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(value * up[: len(value)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), of
+    data, values, starts, ends, of = CUTS[cut](plain)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # some SIGNS at a time, however long a text is
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + SIGNS, side="right")))
+        value, s, e = values[data[base : ends[j - 1]]], starts[i:j] - base, ends[i:j] - base
+        up, down = _powers(len(value) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(value * up[: len(value)], dtype=np.uint64)])
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out, of
 
 
 def terms(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
     """(tokens in lower case, text of each): longest runs of ASCII letters and digits, in order."""
     plain = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    _, starts, ends, of = _ascii_tokens(plain) if plain else (None, *[np.zeros(0, np.int64)] * 3)
+    _, _, starts, ends, of = _ascii_tokens(plain) if plain else (None, None, *[np.zeros(0, np.int64)] * 3)
     sizes = ends - starts
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
