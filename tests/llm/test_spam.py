@@ -105,3 +105,32 @@ def test_nothing_is_decided_without_compression(judged, ordinary, monkeypatch, s
 def test_repetition_in_any_script(text, ordinary):
     assert spam.spam_share(text, ordinary) > 0.5
     assert spam.spam_share("रेशा होता है। बदल जाता है। सूची में शब्द हैं। " * 20, ordinary) <= spam.SHARE
+
+
+def test_all_pages_are_fitted(spark):
+    """Words in exactly half of 12,000 pages are common, those in one page fewer aren't; the median is that of all blocks."""
+    n, half = 12_000, [f"half{chr(97 + k)}" for k in range(20)]
+    rows = []
+    for i in range(n):
+        have = [w for k, w in enumerate(half) if (i + 97 * k) % n < n // 2 - k % 2]
+        tail = " ".join(f"{'xyz'[(i * (k + 3)) % 3]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for k in range(i % 40))
+        rows.append((i, " ".join([*have, "always", tail]), "en"))
+    found = spam.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert found.common == {"always", *half[::2]}
+    first = spam.Ordinary(found.common)
+    sizes = []
+    for _, t, _ in rows:
+        for at, size in spam.blocks(spam.words(t)):
+            text = " ".join(at)
+            if size >= spam.BLOCK // 2 and not spam.wordless(at, text):
+                sizes.append(max(0, spam.compressed(first.structure(at)) - spam.BASE) / len(text))
+    assert found.size == {"LATIN": sorted(sizes)[(len(sizes) - 1) // 2]}
+
+
+def test_blocks_measured_first_are_judged_as_one_by_one(spark, judged):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(judged)], "doc_id bigint, text string")
+    ordinary = spam.fit(df, lang_col=None)
+    want = {i: spam.spam_share(t, ordinary) for i, (t, _) in enumerate(judged)}
+    for given in (None, ordinary):
+        got = {r["doc_id"]: r["share"] for r in spam.spam_pages(df, ordinary=given).collect()}
+        assert got == {i: x for i, x in want.items() if x > spam.SHARE} and len(got) > 50
