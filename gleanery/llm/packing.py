@@ -2,8 +2,9 @@
 
 What the driver sees is the histogram of lengths: at most ``capacity`` numbers, however large the collection. A plan
 is made of it in two steps. Patterns of few lengths that fill a container are enumerated over coarse length classes,
-their repeat counts are fitted to the histogram by non-negative least squares and rounded down; what is left over is
-packed best-fit, longest first, into the room that the patterns leave and into new containers. The plan is a table of
+their repeat counts are fitted to four fifths of each length by non-negative least squares and rounded down; the last two
+pieces of a pattern are chosen to fill it to the token. What is left over is packed best-fit, longest first, into the room
+that the patterns leave and into new containers. The plan is a table of
 ranges ("of length L, numbers s to e go to containers c to c + e - s"); its size depends on the capacity, not on the
 collection. The cluster then only numbers the pieces of each length and looks the range up.
 """
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 import bisect
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,9 +25,8 @@ from gleanery.runtime import materialise
 
 CAPACITY = 2048
 
-#: Classes of lengths the patterns are made of, the share of the histogram they are fitted to, and the part of the
-#: capacity up to which pieces are kept back for the room that they leave.
-CLASSES, FITTED, SMALL = 128, 0.8, 0.35
+#: Classes of lengths the patterns are made of, and the share of the histogram they are fitted to.
+CLASSES, FITTED = 128, 0.8
 
 #: Pieces of one length that are numbered in one task; more are split by hash.
 BLOCK = 100_000
@@ -96,8 +97,11 @@ def patterns(classes: np.ndarray, units: int, most: int = 6) -> np.ndarray:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFrame, int]:
-    """Ranges (length, first, last, container) for a histogram of lengths in 1..capacity, and the number of containers."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, tally: Callable[[int], None] | None = None) -> tuple[pd.DataFrame, int]:
+    """Ranges (length, first, last, container) for a histogram of lengths in 1..capacity, and the number of containers.
+
+    ``tally`` is told how many pieces have a place before best fit begins.
+    """
     left = {int(k): int(v) for k, v in histogram.items() if v > 0 and 0 < k <= capacity}
     used: dict[int, int] = defaultdict(int)  # numbers of a length that have a place
     ranges: list[tuple[int, int, int, int]] = []
@@ -111,6 +115,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFr
         if not left[length]:
             del left[length]
 
+    def pair(c: int, room: int, length: int, many: int) -> tuple[int, int]:
+        """A length of the class, or of one as near as can be, that fills a room to the last token with one more, and how often.
+
+        The length given, if there is none.
+        """
+        for away in range(units):
+            for x in chain(by_class.get(c + away, ()), by_class.get(c - away, ()) if away else ()):
+                if (y := room - x) > 0 and left.get(x) and left.get(y, 0) > (x == y):
+                    return x, min(many, left[x] // 2 if x == y else left[y])
+        return length, many
+
     # Full containers and the patterns.
     width = max(1, -(-capacity // CLASSES))
     units = capacity // width
@@ -118,23 +133,33 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFr
         n = left[capacity]
         place(capacity, 0, n)
         total = n
+    # A part of each length is kept back: best fit finds exact places for the rest only if it has pieces of all lengths.
+    kept: dict[int, int] = {}
+    share = 0.0
+    for length in sorted(left):
+        share += (1 - FITTED) * left[length]
+        kept[length] = min(int(share), left[length])
+        share -= kept[length]
+        left[length] -= kept[length]
+        if not left[length]:
+            del left[length]
     by_class: dict[int, list[int]] = defaultdict(list)  # lengths of a class, the longest first
     for length in sorted(left, reverse=True):
-        if -(-length // width) <= units and length > SMALL * capacity:
+        if -(-length // width) <= units:
             by_class[-(-length // width)].append(length)
     names = np.array(sorted(by_class, reverse=True), int)
     if len(names):
         shapes = patterns(names, units)
         want = np.array([sum(left[length] for length in by_class[c]) for c in names], float)
         # The fit is relative to the largest class, so that it does not depend on the size of the collection.
-        scale = want.max() * FITTED
+        scale = want.max()
         repeats = nnls(shapes.T, want / want.max()) * scale if len(shapes) else np.zeros(0)
         for k in np.argsort(-repeats, kind="stable"):
             have = [sum(left.get(x, 0) for x in by_class[c]) // int(n) for c, n in zip(names, shapes[k]) if n]
             r = min([int(repeats[k] + 1e-9), *have])
             if r <= 0:
                 continue
-            # Slots take the longest pieces of their class first; runs of equal pieces share ranges. The last slot takes
+            # Slots take the longest pieces of their class first; runs of equal pieces share ranges. The last two take
             # what fills the room best, of whatever class, so that no room is lost to the width of the classes.
             slots = [c for c, n in zip(names, shapes[k]) for _ in range(int(n))]
             spans = [(total, r, capacity)]
@@ -142,8 +167,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFr
                 after = []
                 for first, many, room in spans:
                     while many:
+                        m = many
                         if i + 1 < len(slots):
                             length = next(x for x in by_class[c] if left.get(x))
+                            if i + 2 == len(slots):
+                                length, m = pair(c, room, length, many)
                         else:
                             lengths = sorted(left)
                             at = bisect.bisect_right(lengths, room) - 1
@@ -151,7 +179,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFr
                                 after.append((first, many, room))
                                 break
                             length = lengths[at]
-                        m = min(many, left[length])
+                        m = min(m, left[length])
                         place(length, first, m)
                         after.append((first, m, room - length))
                         first, many = first + m, many - m
@@ -160,6 +188,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFr
                 rooms[room].append((first, many))
             total += r
 
+    if tally is not None:
+        tally(sum(used.values()))
+    for length, n in kept.items():
+        if n:
+            left[length] = left.get(length, 0) + n
+
     # The rest: best fit, the longest first.
     sizes = sorted(r for r in rooms if r)
     for length in sorted(left, reverse=True):

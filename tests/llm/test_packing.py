@@ -86,3 +86,23 @@ def test_patterns_lose_nothing_to_best_fit_alone(seed, monkeypatch):
     monkeypatch.setattr(packing, "FITTED", 0.0)
     alone = packing.plan(base)[1]
     assert total <= alone * 1.0005 and total * 2048 >= lengths.sum()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns_place_most_pieces(seed):
+    """Of texts mostly shorter than a third of a container too, and not only of copies of a container's length."""
+    rng = np.random.default_rng(seed)
+    base = Counter(np.clip(rng.lognormal(5.4 + 0.2 * seed, 0.8, 20_000).astype(int) + 1, 1, 2047).tolist())
+    for times in (1, 1000):
+        placed = []
+        packing.plan({k: v * times for k, v in base.items()}, tally=placed.append)
+        assert placed[0] > 0.6 * times * base.total()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_container_more_than_best_fit_alone(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    base = Counter(np.clip(rng.lognormal(5.4 + 0.2 * seed, 0.8, 20_000).astype(int) + 1, 1, 2048).tolist())
+    total = check(base, 2048)[1]
+    monkeypatch.setattr(packing, "FITTED", 0.0)
+    assert total <= packing.plan(base)[1] + 1
