@@ -15,9 +15,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +61,11 @@ _LINK = re.compile(r"https?:|www\.|href|\]\(|(?<!\w)#\w|[^\W\d]:\w|<\w|\w\.\w[\w
 _ADDRESS = re.compile(rf"(?:https?:|www\.)\S+|{_SPELT}[^\W_]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _UNSPACED = "฀-໿⺀-⿟々-〇ぁ-ゖァ-ヺー㐀-䶿一-鿿"
-_UNIT = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]*[^\W\d_{_UNSPACED}][^\W_{_UNSPACED}]*")
+# Looked for where a run of signs starts only: from each digit of a long number on it would take the square of its length.
+_UNIT = re.compile(rf"[{_UNSPACED}]|(?<![^\W_{_UNSPACED}])[^\W_{_UNSPACED}]*[^\W\d_{_UNSPACED}][^\W_{_UNSPACED}]*")
 _NUMBER = re.compile(r"\d+")
 _END = re.compile(r"\w[.!?؟…]+(?=\s|$)|[।。！？]")
-_ASCII_END = re.compile(r"[.!?]+(?=\s|$)")
 _SINGLE = re.compile(f"[{_UNSPACED}]")
-_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
-_NO_DIGITS = bytes(c for c in range(128) if not chr(c).isdigit())
 
 
 @lru_cache(maxsize=100_000)
@@ -87,20 +88,34 @@ class Units(dict):
 
 
 class Ordinary(dict):
-    """What ordinary pages are like: common units, and each script's size per sign; and the structure of words seen so far."""
+    """What ordinary pages are like: common units, and each script's size per sign; and the looks of words seen so far.
+
+    The looks are the structure; a c for each common unit (two at most between stops) and a full stop for each stop; the
+    units, and those of one sign in scripts without spaces; the letters, whether five of them differ, 1 for a word with a
+    digit, and the signs of a long word in ASCII. None of them depends on the words around.
+    """
 
     def __init__(self, common: frozenset = frozenset(), size: dict | None = None):
         self.common, self.size = common, size or {}
         self.known = frozenset(script(u[0]) for u in common)
-        self.units = Units()
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> tuple[str, str, int, int, int, bool, int, int]:
         if len(self) > 500_000:
             self.clear()
-        if word.isascii() and word.isalpha():  # a unit as it is
-            found = word if word in self.common or "LATIN" not in self.known else "w"
+        plain = word.isascii()
+        long = len(word) if plain and len(word) > 40 else 0
+        if plain and word.isalpha():  # a unit as it is
+            structure = word if word in self.common or "LATIN" not in self.known else "w"
+            found = structure, "" if structure == "w" else "c", 1, 0, len(word), len(set(word)) >= 5, 0, long
         else:
-            found = _NUMBER.sub("0", _UNIT.sub(self._sign, _ADDRESS.sub("w", word)))
+            units, digit = _UNIT.findall(word), any(map(str.isdigit, word))
+            structure = _ADDRESS.sub("w", word) if _SPELT in word or "http" in word or "www." in word else word
+            structure = _UNIT.sub(self._sign, structure)
+            if digit:
+                structure = _NUMBER.sub("0", structure)
+            letters = "".join(units if plain and not digit else _WORD.findall(word))
+            single = 0 if plain else len(_SINGLE.findall(word))
+            found = structure, stops(structure), len(units), single, len(letters), len(set(letters)) >= 5, int(digit), long
         if len(word) <= 64:
             self[word] = found
         return found
@@ -111,7 +126,22 @@ class Ordinary(dict):
         return unit if unit in self.common or script(unit[0]) not in self.known else "w"
 
     def structure(self, at: list[str]) -> str:
-        return " ".join(map(self.__getitem__, at))
+        return " ".join([self[w][0] for w in at])
+
+
+def stops(structure: str) -> str:
+    """The common units of a word's structure, two at most between stops, and its full stops."""
+    found, start = "", 0
+    if structure[-1] in ".!?" or not structure.isascii():
+        for m in _END.finditer(structure):
+            found += _commons(structure, start, m.start() + 1) + "."
+            start = m.end()
+    return found + _commons(structure, start, len(structure))
+
+
+def _commons(structure: str, start: int, stop: int) -> str:
+    units = _UNIT.findall(structure, start, stop)
+    return "c" * min(2, len(units) - units.count("w"))
 
 
 def _joined(m: re.Match) -> str:
@@ -140,31 +170,25 @@ def words(text: str) -> list[str]:
 
 def blocks(found: list[str], block: int = BLOCK) -> Iterator[tuple[list[str], int]]:
     """(words, signs) of the blocks of a text, all about equally long."""
-    total = sum(map(len, found)) + len(found)
+    ends = list(accumulate(map(add, map(len, found), repeat(1))))
+    total = ends[-1] if ends else 0
     n = max(1, round(total / block))
-    at: list[str] = []
-    size = done = k = 0
-    for w in found:
-        at.append(w)
-        size += len(w) + 1
-        if (done + size) * n >= total * (k + 1):
-            yield at, size
-            done, k = done + size, (done + size) * n // total
-            at, size = [], 0
-
-
-def wordless(at: list[str], text: str) -> bool:
-    """Whether a block is of numbers, settings, encoded data or filler signs; links and tags are words."""
+    start = done = 0
+    while start < len(found):
+        stop = bisect_left(ends, -(-total * (done * n // total + 1) // n), start) + 1
+        yield found[start:stop], ends[stop - 1] - done
+        start, done = stop, ends[stop - 1]
+
+
+def wordless(at: list[str], text: str, looks: list | None = None) -> bool:
+    """Whether a block is of numbers, settings, encoded data or filler signs; links and tags are words.
+
+    ``looks`` are the last four of its words' looks, if they are known.
+    """
     n = len(at)
-    if text.isascii():
-        raw = text.encode()
-        letters, digits = raw.translate(None, _NO_LETTERS), len(raw.translate(None, _NO_DIGITS))
-    else:
-        letters, digits = "".join(_WORD.findall(text)), sum(map(str.isdigit, text))
-    none = text.count("=") >= 0.2 * n or len(letters) < 0.45 * len(text) or len(set(letters)) < 5
-    # Words with a digit are counted only where there are digits enough, links only where the rest speaks for no words.
-    none = none or (digits >= 0.35 * n and sum(any(c.isdigit() for c in w) for w in at) / n >= 0.35)
-    none = none or (max(map(len, at)) > 40 and sum(len(w) for w in at if len(w) > 40 and w.isascii()) / len(text) > 0.4)
+    letters, varied, digit, long = looks or list(zip(*map(Ordinary().__missing__, at)))[4:]
+    none = text.count("=") >= 0.2 * n or sum(letters) < 0.45 * len(text) or sum(digit) / n >= 0.35 or sum(long) / len(text) > 0.4
+    none = none or (True not in varied and len(set("".join(_WORD.findall(text)))) < 5)
     return none and len(_LINK.findall(text)) < 0.2 * n
 
 
@@ -176,47 +200,25 @@ def main_script(text: str) -> str:
     return max(set(letters), key=letters.count) if letters else ""
 
 
-def sentences(structure: str) -> int:
-    """Full stops behind at least two common units since the one before."""
-    n = start = 0
-    if structure.isascii():
-        ends = [m.span() for m in _ASCII_END.finditer(structure) if m.start() and (structure[m.start() - 1].isalnum() or structure[m.start() - 1] == "_")]
-    else:
-        ends = [(m.start() + 1, m.end()) for m in _END.finditer(structure)]
-    for stop, after in ends:
-        found = 0
-        for u in _UNIT.finditer(structure, start, stop):
-            found += u.group() != "w"
-            if found == 2:
-                n += 1
-                break
-        start = after
-    return n
-
-
-def length(at: list[str], text: str, units: Units) -> float:
-    """Words of a block, three signs of scripts without spaces being one."""
-    if text.isascii():
-        return max(1, sum(map(len, map(units.__getitem__, at))))
-    single = len(_SINGLE.findall(text))
-    return max(1, len(_UNIT.findall(text)) - single + single / 3)
-
-
 def measure(at: list[str], ordinary: Ordinary) -> tuple[str, int, int, int] | None:
     """(script, bytes of the compressed structure, signs, doubt) of a block; none for one that is wordless or too short.
 
-    The doubt is 0 if the block ends sentences, 1 if it ends few, 2 if hardly any.
+    The doubt is 0 if the block ends sentences, 1 if it ends few, 2 if hardly any. A sentence is a full stop behind at
+    least two common units since the one before; three signs of scripts without spaces are one word.
     """
     text = " ".join(at)
-    if len(text) < BLOCK // 4 or wordless(at, text):
+    if len(text) < BLOCK // 4:
+        return None
+    structure, ends, units, single, *looks = zip(*map(ordinary.__getitem__, at))
+    if wordless(at, text, looks):
         return None
-    structure = ordinary.structure(at)
-    if n := sentences(structure):
-        size = length(at, text, ordinary.units)
+    if n := "".join(ends).count("cc."):
+        alone = sum(single)
+        size = max(1, sum(units) - alone + alone / 3)
         doubt = int(n < FEW * size) + int(n < HARDLY * size)
     else:
         doubt = 2
-    return main_script(text), compressed(structure), len(text), doubt
+    return main_script(text), compressed(" ".join(structure)), len(text), doubt
 
 
 def confirmed(part, doubt):

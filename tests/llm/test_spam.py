@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -134,3 +136,60 @@ def test_blocks_measured_first_are_judged_as_one_by_one(spark, judged):
     for given in (None, ordinary):
         got = {r["doc_id"]: r["share"] for r in spam.spam_pages(df, ordinary=given).collect()}
         assert got == {i: x for i, x in want.items() if x > spam.SHARE} and len(got) > 50
+
+
+class Counted:
+    """A pattern that counts its uses."""
+
+    def __init__(self, pattern):
+        self.pattern, self.uses = pattern, 0
+
+    def __getattr__(self, name):
+        self.uses += 1
+        return getattr(self.pattern, name)
+
+
+def test_words_are_looked_at_once(monkeypatch):
+    """The work by patterns goes with the different words of a text, not with its blocks."""
+    common, uses = frozenset(["the", "at", "of", "and", "that", "it", "was", "in"]), []
+    monkeypatch.setattr(spam, "_UNIT", Counted(spam._UNIT))
+    for n in (10, 1000):
+        before = spam._UNIT.uses
+        assert spam.spam_share(PROSE * n, spam.Ordinary(common)) == 0
+        uses.append(spam._UNIT.uses - before)
+    assert uses[0] == uses[1] > 0
+
+
+def test_looks_of_words_give_those_of_blocks():
+    """Doubt and wordlessness of blocks, from the looks of their words, are those of the whole text by patterns."""
+    common, seen = frozenset(["the", "of", "w", "2nd", "дом", "検"]), set()
+    ordinary, rng = spam.Ordinary(common), random.Random(7)
+    pieces = ["the", "of", "w", "cheap", "2nd", "дом", "検索", "ไทย", "是。", "！", "है।", "1.2", "²", "١٢", "http://a.b/x.", "\x0212", "\x02ab", "_a"]
+    pieces += [".", "..", "?!", "…", "؟", "=", "#tag", "<b", ").", '."', "-", "x" * 45, "日" * 40, "é", "̈"]
+    for _ in range(1500):
+        pool = rng.sample(pieces, rng.randint(2, 9))
+        at = spam.words(" ".join("".join(rng.choices(pool, k=rng.choice((1, 1, 2, 3)))) for _ in range(rng.randint(12, 60))))
+        text, structure = " ".join(at), ordinary.structure(at)
+        letters, digits = "".join(spam._WORD.findall(text)), sum(any(map(str.isdigit, w)) for w in at)
+        none = text.count("=") >= 0.2 * len(at) or len(letters) < 0.45 * len(text) or len(set(letters)) < 5 or digits / len(at) >= 0.35
+        none = none or sum(len(w) for w in at if len(w) > 40 and w.isascii()) / len(text) > 0.4
+        none = none and len(spam._LINK.findall(text)) < 0.2 * len(at)
+        assert spam.wordless(at, text) == none
+        n = start = 0
+        for m in spam._END.finditer(structure):
+            n += sum(u != "w" for u in spam._UNIT.findall(structure, start, m.start() + 1)) >= 2
+            start = m.end()
+        single = len(spam._SINGLE.findall(text))
+        size = max(1, len(spam._UNIT.findall(text)) - single + single / 3)
+        want = None if none or len(text) < spam.BLOCK // 4 else (spam.compressed(structure), len(text), (n < spam.FEW * size) + (n < spam.HARDLY * size))
+        got = spam.measure(at, ordinary)
+        assert (got and got[1:]) == want
+        seen.add(want and want[2])
+    assert seen == {None, 0, 1, 2}
+
+
+@pytest.mark.parametrize("word", ["7" * 500_000, "7" * 500_000 + "a", "_7" * 250_000, "a." * 250_000])
+def test_time_of_overlong_words(word, ordinary):
+    """A word of half a million signs takes no square of its length, in the fit or after it."""
+    assert len(spam.Units()[word]) == word.count("a")
+    assert spam.spam_share(word, ordinary) == spam.spam_share(f"{word} {word}", ordinary) == 0
