@@ -21,7 +21,8 @@ class Index:
     """Tables of an index; all of them have the columns ``by`` first if it is split, as by shard.
 
     ``postings``: (term, doc_id, tf, dl). ``docs``: (doc_id, dl), documents of length 0 included. ``terms``: (term, df,
-    cf, max_tf, min_dl). ``stats``: (n, avgdl), a row for each part.
+    cf, max_tf, min_dl). ``stats``: (n, avgdl), a row for each part. ``words``: (doc_id, w), the documents' tokens, of an
+    index that is only planned.
     """
 
     postings: DataFrame
@@ -30,6 +31,7 @@ class Index:
     stats: DataFrame
     by: tuple[str, ...] = ()
     _forward: DataFrame | None = None
+    words: DataFrame | None = None
 
     @classmethod
     def build(cls, documents: DataFrame, by: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -43,7 +45,9 @@ class Index:
             .agg(F.count(F.lit(1)).cast("int").alias("tf"))
             .select(*by, "term", "doc_id", "tf", "dl")
         )
-        return cls.of(postings, words.select(*by, "doc_id", "dl"), by)
+        ix = cls.of(postings, words.select(*by, "doc_id", "dl"), by)
+        ix.words = words.select(*by, "doc_id", "w")
+        return ix
 
     @classmethod
     def of(cls, postings: DataFrame, docs: DataFrame, by: tuple[str, ...] = ()) -> Index:

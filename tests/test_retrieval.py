@@ -50,6 +50,49 @@ def test_passes_of_queries(docs, asked, monkeypatch):
     assert rows(bm25.search_documents(docs, asked, 3)) == want
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """1,000 documents, in which many tie and are of one length, 60 queries with common words, two shards."""
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["the", "of", "and", f"w{rnd.randrange(6)}", f"r{rnd.randrange(90)}"])
+    docs = [(f"d{i}", " ".join(word() for _ in range(rnd.choice([4, 8]))), i % 2) for i in range(1000)]
+    asked = [(f"q{i}", " ".join(word() for _ in range(1 + i % 5))) for i in range(60)]
+    return spark.createDataFrame(docs, "doc_id string, text string, shard int"), spark.createDataFrame(asked, "qid string, query string")
+
+
+def by_joins(monkeypatch, search, *args, **more):
+    with monkeypatch.context() as m:
+        m.setattr(bm25, "_rather_blocks", lambda *_: False)
+        return rows(search(*args, **more))
+
+
+def no_joins(monkeypatch):
+    """Fails where a row is made for each posting that a query asks for."""
+    monkeypatch.setattr(bm25, "_beside", lambda *_: pytest.fail("a row for each posting of each query"))
+
+
+def test_large_batches_are_pruned_by_blocks(many, monkeypatch):
+    docs, asked = many
+    ix = Index.build(docs).stored()
+    want = by_joins(monkeypatch, bm25.search_pruned, ix, asked, 7)
+    no_joins(monkeypatch)
+    for block, share in ((32_768, 0.8), (100, 0.8), (5, 0.5), (300, 0.3), (300, 1.0)):
+        monkeypatch.setattr(bm25, "DOCUMENTS", block)
+        assert rows(bm25.search_pruned(ix, asked, 7, share=share)) == want
+
+
+def test_bounds_rule_documents_out():
+    import numpy as np
+
+    every, few = np.arange(1000), np.arange(0, 1000, 50)
+    lists = [(every, np.full(1000, 0.1)), (few, np.linspace(1.0, 2.0, 20))]
+    assert set(bm25._pruned(lists, 1000, 3, 0.8).tolist()) == {800, 850, 900, 950}
+    assert bm25._pruned(lists, 1000, 30, 0.8) is None  # fewer than k have the rare term
+    assert bm25._looked_up(np.array([50, 51]), lists).round(3).tolist() == [1.153, 0.1]
+
+
 def test_a_repeated_query_term_counts_again(docs, asked):
     once = {r["doc_id"]: r["score"] for r in bm25.search(Index.build(docs), asked.where("qid = 'q2'"), 9).collect()}
     single = asked.sparkSession.createDataFrame([("q2", "fox")], "qid string, query string")
