@@ -83,6 +83,15 @@ def test_large_batches_are_pruned_by_blocks(many, monkeypatch):
         assert rows(bm25.search_pruned(ix, asked, 7, share=share)) == want
 
 
+def test_large_batches_are_pruned_by_shard(many, monkeypatch):
+    docs, asked = many
+    ix = Index.build(docs, ("shard",)).stored()
+    of_shards = lambda *a: bm25.gather(bm25.search_pruned(*a), 7)
+    want = by_joins(monkeypatch, of_shards, ix, asked, 7)
+    no_joins(monkeypatch)
+    assert rows(of_shards(ix, asked, 7)) == want
+
+
 def test_bounds_rule_documents_out():
     import numpy as np
 
