@@ -73,6 +73,14 @@ def no_joins(monkeypatch):
     monkeypatch.setattr(bm25, "_beside", lambda *_: pytest.fail("a row for each posting of each query"))
 
 
+def test_large_batches_are_not_joined(many, monkeypatch):
+    docs, asked = many
+    ix = Index.build(docs)
+    want = by_joins(monkeypatch, bm25.search, ix, asked, 7)
+    no_joins(monkeypatch)
+    assert rows(bm25.search(ix, asked, 7)) == want and len(want) > 300
+
+
 def test_large_batches_are_pruned_by_blocks(many, monkeypatch):
     docs, asked = many
     ix = Index.build(docs).stored()
