@@ -110,6 +110,28 @@ def test_bounds_rule_documents_out():
     assert bm25._looked_up(np.array([50, 51]), lists).round(3).tolist() == [1.153, 0.1]
 
 
+def test_ranks_without_runs(many, monkeypatch):
+    docs, asked = many
+    run = bm25.search_documents(docs, asked, 200)
+    pairs = run.select("qid", "doc_id").where("rank % 3 = 0 or rank > 190").union(asked.select("qid", F.lit("nowhere")))
+    for k, block, pass_ in ((150, 32_768, 500_000), (195, 40, 500_000), (150, 90, 20)):
+        monkeypatch.setattr(bm25, "DOCUMENTS", block)
+        monkeypatch.setattr(bm25, "QUERY_TERMS", pass_)
+        want = rows(run.where(F.col("rank") <= k).join(pairs, ["qid", "doc_id"], "left_semi"))
+        assert rows(bm25.ranks(docs, asked, pairs, k)) == want and len(want) > 500
+    monkeypatch.setattr(bm25, "PAIRS", 100)
+    assert rows(bm25.ranks(docs, asked, pairs, 150)) == rows(run.where("rank <= 150").join(pairs, ["qid", "doc_id"], "left_semi"))
+    assert rows(bm25.ranks(docs, asked, pairs.limit(0), 150)) == [] == rows(bm25.ranks(docs.limit(0), asked, pairs, 150))
+
+
+@pytest.mark.parametrize("name", ["scorecard"])
+def test_grades_without_runs(spark, monkeypatch, name):
+    """No grade needs the first 1000 of each query; that they are right is held against SQL."""
+    monkeypatch.setattr(bm25, "_best", None)
+    monkeypatch.setattr(bm25, "search_documents", lambda *_: pytest.fail("runs of 1000 are sent on"))
+    assert getattr(retrieval, name)(spark, "/root/testdata/sf0.001").count()
+
+
 def test_a_repeated_query_term_counts_again(docs, asked):
     once = {r["doc_id"]: r["score"] for r in bm25.search(Index.build(docs), asked.where("qid = 'q2'"), 9).collect()}
     single = asked.sparkSession.createDataFrame([("q2", "fox")], "qid string, query string")
