@@ -124,7 +124,7 @@ def test_ranks_without_runs(many, monkeypatch):
     assert rows(bm25.ranks(docs, asked, pairs.limit(0), 150)) == [] == rows(bm25.ranks(docs.limit(0), asked, pairs, 150))
 
 
-@pytest.mark.parametrize("name", ["scorecard", "ndcg10", "recall100", "recall1000", "rr10"])
+@pytest.mark.parametrize("name", ["scorecard", "ndcg10", "recall100", "recall1000", "rr10", "average_precision"])
 def test_grades_without_runs(spark, monkeypatch, name):
     """No grade needs the first 1000 of each query; that they are right is held against SQL."""
     monkeypatch.setattr(bm25, "_best", None)
